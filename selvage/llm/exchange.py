@@ -36,7 +36,7 @@ def widths(df: DataFrame) -> tuple[int, int]:
     """Number of buckets and of hash ranges for an input, from the optimizer's size estimate."""
     p = partitions(df.sparkSession)
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return (max(2 * p, min(size // BUCKET_BYTES, 1 << 20)) if size < 1 << 55 else 2 * p), p
+    return (max(p, min(size // BUCKET_BYTES, 1 << 20)) if size < 1 << 55 else p), p
 
 
 def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -22,6 +22,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+#: Lower case, and ASCII punctuation as spaces.
+_FOLD = _LOWER.copy()
+_FOLD[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 #: Odd multipliers, so that each has an inverse modulo 2**64.
@@ -61,14 +64,14 @@ def _powers(p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts (str, UTF-8 bytes or None): ``hash``, byte limits ``start`` and ``end``
     in ``buf``, and ``first[d]:first[d+1]`` for the words of text d.  None and text without a word
-    have no words."""
+    have no words.  ``lower``: A-Z in lower case; ``fold``: that, and ASCII punctuation read as spaces."""
 
     __slots__ = ("buf", "end", "first", "hash", "limits", "start")
 
-    def __init__(self, texts: list[str | bytes | None], lower: bool = False) -> None:
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False, fold: bool = False) -> None:
         parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-        self.buf = buf = _LOWER[buf] if lower else buf
+        self.buf = buf = _FOLD[buf] if fold else _LOWER[buf] if lower else buf
         edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf])).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
         #: Text d lies at limits[d] : limits[d+1] - 1.

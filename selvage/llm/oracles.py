@@ -34,3 +34,30 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_r
               ELSE list_filter(w.w, lambda x, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
+
+ORACLES["op3_mixing"] = f"""
+WITH q AS (SELECT doc_id, CASE WHEN min((coalesce(quality, 0) >= 1 AND coalesce(toxic, 0) < 1)::INT) = 1 THEN 2.0 ELSE 0.5 END AS quality
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, coalesce(quality, 1.0)::DOUBLE AS quality FROM documents LEFT JOIN q USING (doc_id)),
+k AS (SELECT *, -ln((('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, 'mix')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / quality AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::DOUBLE AS cap,
+             [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+               / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT *, least(cap, coalesce((SELECT min_by(level, cap / weight) FROM l WHERE level * weight <= cap), 0) * weight)::DOUBLE AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS epochs FROM t),
+r AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, epochs + (size > 0 AND 2 * before + size <= 2 * rest)::BIGINT AS repeats,
+       (epochs + (size > 0 AND 2 * before + size <= 2 * rest)::BIGINT) * size AS taken FROM r
+"""
+
+ORACLES["op6_url_filter"] = f"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+                  coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (SELECT page_id, max_by(struct_pack(rule := h || r.p, verdict := verdict), length(h || r.p)) AS m
+      FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
+"""
