@@ -70,21 +70,26 @@ def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1, dtype=U))
 
 
-def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] = (), wide: bool = False) -> pa.Table:
-    """Rows for the ranges: the keys (low half, or ``wide`` whole) and aligned columns, part by part."""
+def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] = (), wide: bool = False, base: int = 0) -> pa.Table:
+    """Rows for the ranges: the keys (low half, or ``wide`` whole) and aligned columns, part by part from part ``base`` on."""
     at = _cut(keys, parts)
     body = [keys if wide else keys.astype(np.uint32), *cols]
     no = [r for r in range(parts) if at[r] < at[r + 1]]
     data = [b"".join(c[at[r] : at[r + 1]].tobytes() for c in body) for r in no]
-    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array(no, pa.int32()), "data": pa.array(data, pa.binary())})
+    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array([base + r for r in no], pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray]) -> DataFrame:
-    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range gives an aligned array."""
-    kinds = [np.dtype(d) for d in dtypes]
-    width = sum(k.itemsize for k in kinds)
+def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray], second: tuple[int, Sequence[str], Callable[..., np.ndarray]] | None = None) -> DataFrame:
+    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range gives an aligned array.
+
+    ``second`` (first part, dtypes, answer) handles entries of another form that a bucket sent in the
+    same pass, to the parts from that number on.
+    """
 
     def reply(t: pa.Table) -> pa.Table:
+        form, fn = (dtypes, answer) if second is None or t["part"][0].as_py() < second[0] else second[1:]
+        kinds = [np.dtype(d) for d in form]
+        width = sum(k.itemsize for k in kinds)
         data = t["data"].to_pylist()
         sizes = [len(d) // width for d in data]
         cols: list[list[np.ndarray]] = [[] for _ in kinds]
@@ -94,7 +99,7 @@ def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.nd
                 c.append(np.frombuffer(d, k, n, at))
                 at += n * k.itemsize
         del data
-        got = answer(*(np.concatenate(c) for c in cols))
+        got = fn(*(np.concatenate(c) for c in cols))
         ends = np.cumsum([0, *sizes])
         out = [got[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"bucket": t["bucket"].cast(pa.int32()), "part": t["part"].cast(pa.int32()), "data": pa.array(out, pa.binary())})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.llm import chat, classifier, decontaminate, mixing, near_dup, quality_rules, substring_dedup, token_counts, url_filter
+from selvage.llm import chat, classifier, decontaminate, mixing, near_dup, quality_rules, substring_dedup, suffix_tree, token_counts, url_filter
 from selvage.llm.oracles import ORACLES
 from selvage.tables import table
 
@@ -35,6 +35,11 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op4_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and suffix-tree log10 probability of every document."""
+    return suffix_tree.scored(table(spark, sf, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Measures, base rules and the weakly supervised verdict of every document."""
     found = quality_rules.judged(table(spark, sf, "documents"))
@@ -71,5 +76,5 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_ngram_jaccard, op3_mixing, op5_quality_rules, op6_url_filter, op7_substring_dedup, op8_chat_format, op9_token_counts, op10_quality_classifier)
+    for f in (op1_decontamination, op2_ngram_jaccard, op3_mixing, op4_lm_score, op5_quality_rules, op6_url_filter, op7_substring_dedup, op8_chat_format, op9_token_counts, op10_quality_classifier)
 }
