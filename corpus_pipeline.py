@@ -11,13 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.llm import near_dup, substring_dedup
+from selvage.llm import classifier, decontaminate, mixing, near_dup, substring_dedup
 from selvage.session import cut
 from selvage.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents whose probability of the best grade is below one half go."""
+    return classifier.accepted(docs, classifier.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each group of near-duplicates the document of smallest id stays.
 
@@ -29,12 +34,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: passages of 20 words or more stay where they come first; emptied documents go."""
-    out = substring_dedup.deduplicated(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).where("text IS NULL OR text <> ''").select(docs.columns)
+    """Operator 7: passages of 20 words or more stay where they come first; texts that lose every word go."""
+    out = substring_dedup.deduplicated(docs, drop_emptied=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that leak a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents of the mix, with how often each is taken; those not taken go."""
+    sized = mixing.sized_documents(docs, table(spark, sf_dir, "labels"), ["text", "lang", "n_chars"])
+    found = mixing.mixed(sized).where("repeats > 0")
+    return found.select(*docs.columns, "size", "source_size", "target", "repeats", "taken")
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("source_mix", mix),
+]
 
 #: Several stages (hashed regression, sampling) have no SQL form; tests compare with brute force.
 ORACLE_SQL: str | None = None

@@ -161,3 +161,18 @@ def rated(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             yield pa.record_batch([t.column("doc_id"), pa.array(above.sum(axis=1), pa.float64()), pa.array(above[:, -1], pa.float64()), pa.array(kept, pa.bool_())], names=["doc_id", "expected_grade", "p_good", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, expected_grade double, p_good double, kept boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that :func:`rated` keeps; no shuffle, so equal ids need no care."""
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(model)  # 2**BITS floats, whatever the data
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for t in batches:
+            x = features(t.column(at).to_pylist())
+            yield t.filter(pa.array((m.above(m.score(x))[:, -1] >= least) | ~np.array([len(r) > 0 for r in x], bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,20 +181,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
-    df: dict[int, int] = {}
-    n = total = 0
-    for texts_ in _shards(clean):
-        w = Words([t for _, t in texts_], fold=True)
-        n, total = n + len(texts_), total + len(w.hash)
-        for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-            for x in np.unique(w.hash[a:b]).tolist():
-                df[x] = df.get(x, 0) + 1
-    idf = {x: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for x, c in df.items()}
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, start bigint"
     out = spark.createDataFrame([], schema)
-    for shard in _shards(clean):
-        ix = spark.sparkContext.broadcast(build([i for i, _ in shard], [t for _, t in shard], idf, max(total / max(n, 1), 1.0), threshold))
+    for ix in _indexes(items, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
             for t in batches:
@@ -207,6 +197,39 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that leak no item (see :func:`leaks`); no shuffle."""
+    at = docs.columns.index(text_col)
+    for ix in _indexes(items, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                texts = t.column(at).to_pylist()
+                keep = np.ones(len(texts), bool)
+                for a, b in chunks(texts, 1 << 19):
+                    keep[[a + r[0] for r in search(ix.value, texts[a:b], threshold, overlap)]] = False
+                yield t.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, threshold: float) -> Iterator[Broadcast]:
+    """A broadcast index of each shard, with document frequencies of the whole benchmark."""
+    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
+    df: dict[int, int] = {}
+    n = total = 0
+    for shard in _shards(clean):
+        w = Words([t for _, t in shard], fold=True)
+        n, total = n + len(shard), total + len(w.hash)
+        for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+            for x in np.unique(w.hash[a:b]).tolist():
+                df[x] = df.get(x, 0) + 1
+    idf = {x: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for x, c in df.items()}
+    for shard in _shards(clean):
+        yield items.sparkSession.sparkContext.broadcast(build([i for i, _ in shard], [t for _, t in shard], idf, max(total / max(n, 1), 1.0), threshold))
+
+
 def _shards(clean: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in shards of bounded size, streamed to the driver one shard at a time."""
     now: list[tuple[int | None, str]] = []

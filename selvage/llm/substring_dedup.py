@@ -180,10 +180,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _passes(texts, parts, window, lambda b, gone, _: _digests(b, gone), RESULT).withColumnRenamed("id", id_col)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, drop_emptied: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with repeated words cut from the text; see :func:`repeated_spans`.
 
-    Texts that lose nothing are unchanged, null included; a text that loses every word becomes empty.
+    Texts that lose nothing are unchanged, null included; a text that loses every word becomes empty,
+    or its row goes (``drop_emptied``).
     """
     buckets, parts = X.widths(docs)
     keep = [c for c in docs.columns if c != text_col]
@@ -192,7 +193,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def last(b: _Bucket, gone: np.ndarray, left: pa.Table) -> pa.Table:
         order = X.row_order(left)
-        return pa.table({"rest": left["rest"].take(pa.array(order)), "text": pa.array(kept_texts(b, gone), pa.string())})
+        out = pa.table({"rest": left["rest"].take(pa.array(order, pa.int64())), "text": pa.array(kept_texts(b, gone), pa.string())})
+        lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[b.w.first])
+        return out.filter(pa.array((lost == 0) | (lost < b.w.count()))) if drop_emptied else out
 
     schema = T.StructType([T.StructField("rest", packed.schema["rest"].dataType), T.StructField("text", T.StringType())])
     out = _passes(texts, parts, window, last, schema)
