@@ -3,7 +3,8 @@
 A document's set is its distinct k-word shingles.  Two sets x, y with J(x, y) >= t share a token in
 their prefixes of length ``n - ceil(t n) + 1`` under *any* order of all tokens.  A pair is verified
 only if it shares prefix tokens under each of two orders (both rarest-first, ties broken by
-different hashes), is of fitting size and can still reach the overlap from the token's positions.
+different hashes), is of fitting size, can still reach the overlap from the token's position, and has a signature (parities
+of token classes) that is near enough.
 
 Steps, none of which expands a group into its pairs:
 
@@ -36,7 +37,15 @@ from selvage.session import cut
 
 U = np.uint64
 _SALT_A, _SALT_B, _SALT_F = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F), U(0x2545F4914F6CDD1D)
-SURVIVOR = "cid binary, n int, own int, toks array<bigint>, pa array<bigint>, pb array<bigint>"
+#: Longs of a signature: parities of 64 token classes each.
+SIGNATURE = 4
+SURVIVOR = "cid binary, n int, own int, toks array<bigint>, pa array<bigint>, pb array<bigint>, sig array<bigint>"
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of 64 * SIGNATURE classes."""
+    odd = np.bincount(((tokens >> U(40)) % U(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
@@ -111,7 +120,7 @@ def survivors(docs: DataFrame, classes: DataFrame, buckets: int, parts: int, id_
         cids, sets = _representatives(left, right, k)
         _, inverse, _ = _all_tokens(sets)
         rank = X.received(right, "u1", lo=0)[inverse] if sets else np.zeros(0, np.uint8)
-        out: dict[str, list] = {c: [] for c in ("cid", "n", "own", "toks", "pa", "pb")}
+        out: dict[str, list] = {c: [] for c in ("cid", "n", "own", "toks", "pa", "pb", "sig")}
         at = 0
         for c, s in zip(cids, sets, strict=True):
             r = rank[at : at + len(s)]
@@ -125,10 +134,11 @@ def survivors(docs: DataFrame, classes: DataFrame, buckets: int, parts: int, id_
             out["n"].append(n)
             out["own"].append(own)
             out["toks"].append(shared.view(np.int64))
+            out["sig"].append(signature(shared))
             for name, salt in (("pa", _SALT_A), ("pb", _SALT_B)):
                 out[name].append(shared[np.lexsort((mix(shared ^ salt), r))[: room + 1]].view(np.int64))
         longs = pa.list_(pa.int64())
-        return pa.table({"cid": pa.array(out["cid"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "own": pa.array(out["own"], pa.int32())} | {c: pa.array(out[c], longs) for c in ("toks", "pa", "pb")})
+        return pa.table({"cid": pa.array(out["cid"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "own": pa.array(out["own"], pa.int32())} | {c: pa.array(out[c], longs) for c in ("toks", "pa", "pb", "sig")})
 
     sent = texts.groupBy("bucket").cogroup(reps.groupBy("bucket")).applyInArrow(send, X.ANSWER)
     got = X.answered(sent, ("u4", "u2"), frequency).unionByName(reps)
@@ -136,10 +146,18 @@ def survivors(docs: DataFrame, classes: DataFrame, buckets: int, parts: int, id_
 
 
 def _fits(num: int, den: int) -> F.Column:
-    """Size filter, and the overlap still open from the positions of a shared token; i, j count shared tokens only."""
-    short = F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
-    most = F.least("i1", "i2") + short
-    return (F.lit(den) * F.least("n1", "n2") >= F.lit(num) * F.greatest("n1", "n2")) & ((num + den) * most >= num * (F.col("n1") + F.col("n2")))
+    """Sound filters of a pair that shares a prefix token: size, position and signature.
+
+    *Position*: if the token at (i, j) is the first that both share, the overlap is at most what
+    either set still holds from there on.  Every link passes at its first shared token; i, j and the
+    remainders leave out tokens that occur in no other set.  *Signature*: sets whose parities by
+    token class differ in so many bits differ in as many tokens at least.
+    """
+    total = F.col("n1") + F.col("n2")
+    most = F.least(F.col("n1") - F.col("own1") - F.col("i1"), F.col("n2") - F.col("own2") - F.col("i2"))
+    differ = F.col("own1") + F.col("own2") + sum((F.bit_count(F.col(f"g1.g{k}").bitwiseXOR(F.col(f"g2.g{k}"))) for k in range(SIGNATURE)), F.lit(0))
+    size = F.lit(den) * F.least("n1", "n2") >= F.lit(num) * F.greatest("n1", "n2")
+    return size & ((num + den) * most >= num * total) & ((num + den) * (total - differ) >= 2 * num * total)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -152,14 +170,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between survivors that give the exact components (a spanning set, not all pairs)."""
-    post = sets.select("cid", "n", "own", F.posexplode("pa").alias("i", "tok"))
+    bits = F.struct(*(F.get("sig", k).alias(f"g{k}") for k in range(SIGNATURE))).alias("g")
+    post = sets.select("cid", "n", "own", bits, F.posexplode("pa").alias("i", "tok"))
     side = lambda d, s: d.select("tok", *(F.col(c).alias(f"{c}{s}") for c in d.columns if c != "tok"))
-    lead = post.groupBy("tok").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("o"), "cid", "n", "own", "i")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("tok", "l.cid", "l.n", "l.own", "l.i")
+    lead = post.groupBy("tok").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("o"), "cid", "n", "own", "g", "i")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("tok", "l.cid", "l.n", "l.own", "l.g", "l.i")
     order = lambda d: d.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
     stars = cut(order(side(post, 1).join(side(lead, 2), "tok").where("cid1 <> cid2").where(_fits(num, den))), "stars")
     first = cut(_verified(stars, sets, num, den), "links")
     at = components(first)
-    post = post.join(at, post.cid == at.node, "left").select("tok", "cid", "n", "own", "i", F.coalesce("comp", "cid").alias("comp"))
+    post = post.join(at, post.cid == at.node, "left").select("tok", "cid", "n", "own", "g", "i", F.coalesce("comp", "cid").alias("comp"))
     post = cut(post, "posts")
     most = post.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     mixed = cut(post.join(most, "tok"), "mixed")
