@@ -56,7 +56,7 @@ def issued_ids(used: DataFrame, new: DataFrame) -> DataFrame:
     top = used.groupBy("letter").agg(F.max("n").alias("top"))
     w = Window.partitionBy("letter").orderBy("seq")
     rows = new.join(top, "letter", "left").withColumn("n", F.coalesce("top", F.lit(0)) + F.row_number().over(w))
-    return rows.withColumn("id", F.concat("letter", F.col("n").cast("string"))).drop("top", "n")
+    return rows.withColumn("id", F.concat("letter", F.col("n").cast("string"))).drop("top")
 
 
 def review_gate(stored: DataFrame, current: DataFrame, approved: bool, override: bool | None, default: bool) -> DataFrame:

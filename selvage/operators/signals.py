@@ -10,6 +10,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -24,8 +29,8 @@ def median(v: Column) -> Column:
 def median_hash(v: Column, bits: int = 63) -> Column:
     """H2: bit i is set where coefficient i of the first ``bits`` exceeds their median."""
     head = F.slice(v, 1, bits)
-    m = median(head)
-    picked = F.transform(head, lambda x, i: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    picked = let(median(head), lambda m: F.transform(head, lambda x, i: F.when(x > m, bit(i)).otherwise(F.lit(0).cast("long"))))
     return F.aggregate(picked, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
@@ -41,9 +46,10 @@ def ink_distance(a: Column, b: Column) -> Column:
 
 def zscores(v: Column) -> Column:
     """H5: values centred and scaled by the population deviation (plus 1e-6)."""
-    mean = _sum(v) / F.size(v)
-    std = F.sqrt(_sum(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.size(v)) + 1e-6
-    return F.transform(v, lambda x: (x - mean) / std)
+    mean, square = _sum(v) / F.size(v), _sum(F.transform(v, lambda x: x * x)) / F.size(v)
+    scale = lambda m: F.sqrt(F.greatest(m["sq"] - m["mu"] * m["mu"], F.lit(0.0))) + 1e-6
+    both = let(F.struct(mean.alias("mu"), square.alias("sq")), lambda m: F.struct(m["mu"].alias("mu"), scale(m).alias("sd")))
+    return let(both, lambda m: F.transform(v, lambda x: (x - m["mu"]) / m["sd"]))
 
 
 def correlation(za: Column, zb: Column) -> Column:

@@ -105,9 +105,9 @@ def split_words(words: DataFrame, boundaries: DataFrame, key: str, edge: float =
 
 
 def longest_pause(segments: DataFrame, key: str, target: float, radius: float = 60.0) -> DataFrame:
-    """Start of the segment behind the longest pause within ``radius`` of the target; the first on ties."""
+    """Start of the segment behind the longest pause within ``radius`` of the target; the first on ties.  Pauses are compared in microseconds."""
     w = Window.partitionBy(key).orderBy("start")
-    rows = segments.withColumn("gap", F.col("start") - F.lag("end").over(w)).where(F.col("gap").isNotNull() & (F.abs(F.col("start") - target) <= radius))
+    rows = segments.withColumn("gap", F.round(F.col("start") - F.lag("end").over(w), 6)).where(F.col("gap").isNotNull() & (F.abs(F.col("start") - target) <= radius))
     return rows.groupBy(key).agg(F.max_by("start", F.struct("gap", (-F.col("start")).alias("s"))).alias("cut"), F.max("gap").alias("gap"))
 
 
