@@ -50,7 +50,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts lineage (so a lost executor costs a re-read, not a re-run) and keeps columns compressed.
-    The file system removes the table when the application ends.
+    The file system removes the table when the application ends.  The shuffle files behind it are
+    not read again: a collection of the driver's heap lets the context cleaner remove them now, so
+    that a query of several jobs holds on disk what one of them needs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/selvage-{name}-{uuid.uuid4().hex}"
@@ -58,6 +60,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
