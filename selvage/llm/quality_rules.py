@@ -106,13 +106,13 @@ def _bounded(p: dict[int, float], c: int) -> dict[int, float]:
     return {v: bad if v == BAD else p[v] * rest for v in VOTES}
 
 
-def estimate(patterns: Mapping[tuple[int, ...], int], steps: int = 60) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]]]:
+def estimate(patterns: Mapping[tuple[int, ...], int], n_rules: int = 0, steps: int = 60) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]]]:
     """EM over counted vote patterns: P(good), and for each rule the vote probabilities on good and on bad documents.
 
     Starts from and is regularised by ``PRIOR``, which also says which class is the good one; an
     empty table gives the prior.  Deterministic.
     """
-    m = len(next(iter(patterns), ()))
+    m = max(n_rules, len(next(iter(patterns), ())))
     good = 0.9
     probs = [tuple({v: PRIOR[c][i] for i, v in enumerate(VOTES)} for c in (0, 1)) for _ in range(m)]
     items = sorted(patterns.items())
@@ -148,7 +148,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     columns = [f"v_{k}" for k in names]
     counted = voted.groupBy(*columns).count().collect()  # 3 ** rules rows at most
     patterns = {tuple(r[c] for c in columns): r["count"] for r in counted}
-    good, probs = estimate(patterns)
+    good, probs = estimate(patterns, len(names))
     odds: Column = F.lit(math.log(good / (1 - good)))
     for c, p in zip(columns, probs, strict=True):
         weight = [math.log(p[0][v] / p[1][v]) for v in VOTES]
