@@ -19,7 +19,7 @@ def test_windows_equal_batch(spark, tmp_path):
 
 def test_exactly_once_and_resume(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    rows = spark.range(20).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts")
+    rows = spark.range(20).selectExpr("id AS event_id", "timestamp_seconds(1000000 + id) AS ts")
     for _ in range(2):
         rows.write.mode("append").parquet(src)
         U.run_available(U.deduplicated(U.follow(spark, src, "event_id bigint, ts timestamp", "parquet")), out, cp)
