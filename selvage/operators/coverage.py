@@ -13,6 +13,26 @@ def citations(sections: DataFrame, section: str = "section", md: str = "md") ->
     return sections.select(section, F.explode(src_ids(F.col(md))).alias("block")).distinct()
 
 
+#: Bytes of blocks that are broadcast at a time.
+SHARD_BYTES = 32 << 20
+
+
+def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """J1 over running text: distinct ids of items (id, item) that occur in some row of texts (text).
+
+    The texts stream past a broadcast of the items; items beyond ``SHARD_BYTES`` by the optimizer's
+    estimate go in several shards, one pass each, so what is broadcast stays bounded.
+    """
+    size = int(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards = max(1, -(-min(size, 1 << 40) // SHARD_BYTES))
+    out = None
+    for s in range(shards):
+        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == s)
+        hit = texts.join(F.broadcast(part), F.contains("text", "item")).select("id").distinct()
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
 def flagged(blocks: DataFrame, cited: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Blocks that count (no admin), with ``covered``, ``verdict`` and ``note``.
 
