@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvage.functions.text import percent, src_ids
@@ -118,9 +118,9 @@ def repaired(blocks: DataFrame, assignments: DataFrame) -> DataFrame:
     return known.groupBy("block").agg(F.min_by("section", "ord").alias("section"), F.min("ord").alias("ord"))
 
 
-def autofill_limit(n: str | F.Column) -> F.Column:
+def autofill_limit(n: str | Column) -> Column:
     """max(5, ceil(3 %)), the product rounded to 6 digits first."""
-    return F.greatest(F.lit(5), F.ceil(F.round(F.lit(0.03) * F.col(n), 6))).cast("long") if isinstance(n, str) else F.greatest(F.lit(5), F.ceil(F.round(F.lit(0.03) * n, 6))).cast("long")
+    return F.greatest(F.lit(5), F.ceil(F.round(F.lit(0.03) * (F.col(n) if isinstance(n, str) else n), 6))).cast("long")
 
 
 def autofill(blocks: DataFrame) -> DataFrame:

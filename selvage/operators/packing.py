@@ -73,8 +73,7 @@ def chunk_cuts(starts: Column, duration: Column, pauses: Column, low: float = 36
     def step(a: Column, _: Column) -> Column:
         nxt = cut(a.last)
         go = ~a.done & (duration - a.last > high) & (nxt > a.last + 1)
-        return F.struct(F.when(go, nxt).otherwise(a.last).alias("last"), ~go, F.when(go, F.array_append(a.out, nxt)).otherwise(a.out))
+        return F.struct(F.when(go, nxt).otherwise(a.last).alias("last"), (~go).alias("done"), F.when(go, F.array_append(a.out, nxt)).otherwise(a.out).alias("out"))
 
     zero = F.struct(F.lit(0.0).alias("last"), F.lit(False).alias("done"), F.array().cast("array<double>").alias("out"))
-    named = lambda a, x: F.struct(step(a, x)["last"].alias("last"), step(a, x)["col2"].alias("done"), step(a, x)["col3"].alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.greatest(duration, F.lit(1)) / low).cast("int")), zero, named)["out"]
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.greatest(duration, F.lit(1)) / low).cast("int")), zero, step)["out"]
