@@ -227,5 +227,5 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     known = one
     known = known.unionByName(cut(at(X.answered(ask(known, pairs), ("u4", "u4"), _counts), 1), "pairs"))
     known = known.unionByName(cut(at(X.answered(ask(known, triples), ("u4", "u4"), _counts, (p, ("u8", "f4"), _passed)), 2), "triples"))
-    known = known.unionByName(at(X.answered(ask(known, tests), ("u4", "f4"), _passed), 4))
+    known = known.unionByName(cut(at(X.answered(ask(known, tests), ("u4", "f4"), _passed), 4), "tests"))
     return by.cogroup(known.groupBy("bucket")).applyInArrow(finish, RESULT).withColumnRenamed("doc_id", id_col)
