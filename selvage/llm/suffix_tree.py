@@ -9,7 +9,8 @@ state of the longest retained suffix of what precedes it in its document.
 
 The tree is never gathered: counts of words, pairs and triples, and the sums of the tests, meet in
 two-way exchanges (:mod:`selvage.llm.exchange`), in which each bucket of documents asks for exactly the
-states that its texts can visit.  All counts cover all training documents, without pruning by rank, and
+states that its texts can visit.  Keys are sent whole: a merged count would be a wrong result, not an
+extra comparison.  All counts cover all training documents, without pruning by rank, and
 what is gathered grows with the corpus; hot words cost one entry a bucket.
 """
 
@@ -201,17 +202,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = state(left, right, 1)
         n = np.bincount(b.inv2, weights=b.train[b.at2], minlength=len(b.keys2)).astype(np.uint32)
-        return X.pack(key[0].as_py(), p, b.keys2, [n])
+        return X.pack(key[0].as_py(), p, b.keys2, [n], wide=True)
 
     def triples(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = state(left, right, 2)
         n = np.bincount(b.inv3, weights=b.train[b.at3], minlength=len(b.keys3)).astype(np.uint32)
         bucket = key[0].as_py()
-        return pa.concat_tables([X.pack(bucket, p, b.keys3, [n]), X.pack(bucket, p, b.names1, [b.gain1().astype(np.float32)], wide=True, base=p)])
+        return pa.concat_tables([X.pack(bucket, p, b.keys3, [n], wide=True), X.pack(bucket, p, b.names1, [b.gain1().astype(np.float32)], wide=True, base=p)])
 
     def tests(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = state(left, right, 3)
-        return X.pack(key[0].as_py(), p, b.names2, [b.gain2().astype(np.float32)])
+        return X.pack(key[0].as_py(), p, b.names2, [b.gain2().astype(np.float32)], wide=True)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = state(left, right, 3)
@@ -225,7 +226,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     ask = lambda known, f: by.cogroup(known.groupBy("bucket")).applyInArrow(f, X.ANSWER)
     known = one
-    known = known.unionByName(cut(at(X.answered(ask(known, pairs), ("u4", "u4"), _counts), 1), "pairs"))
-    known = known.unionByName(cut(at(X.answered(ask(known, triples), ("u4", "u4"), _counts, (p, ("u8", "f4"), _passed)), 2), "triples"))
-    known = known.unionByName(cut(at(X.answered(ask(known, tests), ("u4", "f4"), _passed), 4), "tests"))
+    known = known.unionByName(cut(at(X.answered(ask(known, pairs), ("u8", "u4"), _counts), 1), "pairs"))
+    known = known.unionByName(cut(at(X.answered(ask(known, triples), ("u8", "u4"), _counts, (p, ("u8", "f4"), _passed)), 2), "triples"))
+    known = known.unionByName(cut(at(X.answered(ask(known, tests), ("u8", "f4"), _passed), 4), "tests"))
     return by.cogroup(known.groupBy("bucket")).applyInArrow(finish, RESULT).withColumnRenamed("doc_id", id_col)

@@ -64,6 +64,17 @@ def test_suffix_tree(spark):
     assert suffix_tree.scored(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_tree_tells_grams_apart(spark):
+    """Two pairs whose hashes share the range (of four) and the low half: a rare one must not take the counts of a frequent one."""
+    a, b, c, d = "w85588", "w85589", "w713449", "w713450"
+
+    def scores(last):
+        data = [(i, f"{a} {b}", None) for i in range(60)] + [(60 + i, f"{c} x{i % 3} {last}", None) for i in range(20)] + [(80 + i, f"{c} {last}", None) for i in range(4)]
+        return {r.doc_id: (round(r.base_score, 9), round(r.score, 6)) for r in suffix_tree.scored(spark.createDataFrame(data, DOCS)).collect()}
+
+    assert scores(d) == scores("other")  # a name does not matter
+
+
 def test_suffix_tree_beats_base_on_held_out(spark):
     r = suffix_tree.scored(table(spark, SF, "documents")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
