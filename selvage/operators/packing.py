@@ -38,20 +38,33 @@ def fixed_batches(items: DataFrame, keys: list[str], order: str, each: int) -> D
     return items.withColumn("batch", F.floor((F.row_number().over(w) - 1) / each).cast("long"))
 
 
+def numbered(rows: DataFrame, bucket: Column, order: str | Column, out: str) -> DataFrame:
+    """Row numbers from 1 in order; ``bucket`` must rise with it.  One row a bucket is summed in one task, rows are numbered inside their bucket."""
+    rows = rows.withColumn("__b", bucket)
+    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(order))
+    return rows.join(sizes, F.col("__b").eqNullSafe(F.col("__c"))).withColumn(out, F.col("__before") + inside).drop("__b", "__c", "__before")
+
+
 def kept_groups(items: DataFrame, previous: DataFrame, most: int = 60_000, count: int = 4) -> DataFrame:
     """(grp) of previous groups that stay: members known, contiguous in the same order, within the limits.
 
-    ``items``: (id, pos, size); ``previous``: (grp, ord, id).  A member claimed by an earlier group that
-    stays rejects later ones; groups are few (one row a group), members are joined.
+    ``items``: (id, pos, size); ``previous``: (grp, ord, id), grp a number.  A member claimed by an earlier group that
+    stays rejects later ones; one row for each 1024 numbers meets in one task, members are joined.
     """
     m = previous.join(items, "id", "left")
     w = Window.partitionBy("grp").orderBy("ord")
     m = m.withColumn("gap", F.col("pos") - F.lag("pos").over(w))
     g = m.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count("pos").alias("known"), F.sum("size").alias("z"), F.min(F.coalesce("gap", F.lit(1))).alias("lo"), F.max(F.coalesce("gap", F.lit(1))).alias("hi"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     fit = (F.col("known") == F.col("n")) & (F.col("n") <= count) & (F.col("lo") == 1) & (F.col("hi") == 1) & ((F.col("n") == 1) | (F.col("z") <= most))
-    g = g.where(fit)
-    earlier = F.max("last").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
-    return g.withColumn("before", earlier).where("before IS NULL OR first > before").select("grp", "first", "last", "n", "z")
+    g = g.where(fit).withColumn("__b", F.floor(F.col("grp") / 1024))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = g.groupBy(F.col("__b").alias("__c")).agg(F.max("last").alias("__m"))
+    tops = tops.select("__c", F.max("__m").over(earlier(Window.orderBy("__c"))).alias("__top"))
+    inside = F.max("last").over(earlier(Window.partitionBy("__b").orderBy("grp")))
+    return g.join(tops, F.col("__b") == F.col("__c")).withColumn("before", F.greatest(inside, "__top")).where("before IS NULL OR first > before").select("grp", "first", "last", "n", "z")
 
 
 def chunk_cuts(starts: Column, duration: Column, pauses: Column, low: float = 360, high: float = 660, aim: float = 540, radius: float = 60) -> Column:

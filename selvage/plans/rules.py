@@ -11,6 +11,7 @@ from selvage.operators import blocks as B
 from selvage.operators import coverage as C
 from selvage.operators import manifest as N
 from selvage.operators import matching as X
+from selvage.operators import packing as P
 from selvage.plans import base
 from selvage.plans.base import BLOCKS, USAGE
 from selvage.plans.registry import query
@@ -119,10 +120,10 @@ def glossary_scope(spark: SparkSession, sf: str) -> DataFrame:
 @query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer WHERE c_custkey <= 300")
 def natural_order(spark: SparkSession, sf: str) -> DataFrame:
     """L1: names in natural order ('c2' before 'c10')."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf, "customer").where("c_custkey <= 300").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("name"))
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(S.natural_key(F.col("name")))).alias("place"))
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("name"))
+    c = c.withColumn("key", S.natural_key(F.col("name")))
+    # a prefix rises with the key: 'c' and nine of twelve digits
+    return P.numbered(c, F.substring("key", 1, 10), "key", "place").select("c_custkey", "place")
 
 
 @query("capped_lists", "SELECT n_regionkey, array_to_string(list_sort(list(n_name))[1:3], ', ') || ', +' || (count(*) - 3) || ' more' AS names FROM nation GROUP BY n_regionkey")

@@ -200,10 +200,8 @@ def packed_orders(spark: SparkSession, sf: str) -> DataFrame:
  SELECT grp, first, last, n, z::BIGINT AS z FROM m WHERE known = n AND n <= 4 AND (n = 1 OR z <= 400)""")
 def kept_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Previous groups of three that are still valid (every 17th member vanished)."""
-    from pyspark.sql import Window
-
-    o = table(spark, sf, "orders").where("o_orderkey <= 4000")
-    items = o.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy("o_orderkey")).alias("pos"), F.floor(F.col("o_totalprice") / 1000).alias("size"))
+    o = P.numbered(table(spark, sf, "orders"), F.floor(F.col("o_orderkey") / 4096), "o_orderkey", "pos")
+    items = o.select(F.col("o_orderkey").alias("id"), "pos", F.floor(F.col("o_totalprice") / 1000).alias("size"))
     prev = items.select(F.floor(F.col("pos") / 3).alias("grp"), F.col("pos").alias("ord"), F.when(F.col("pos") % 17 == 0, -1).otherwise(F.col("id")).alias("id"))
     return P.kept_groups(items, prev, 400, 4)
 
