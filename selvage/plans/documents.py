@@ -33,8 +33,7 @@ def block_types(spark: SparkSession, sf: str) -> DataFrame:
  FROM blocks WHERE NOT contains(text, '$') AND NOT contains(text, '<!--')""")
 def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Size without white space, and the snippet of each block."""
-    rows = base.blocks(spark, sf).where("NOT contains(text, '$') AND NOT contains(text, '<!--')")
-    return rows.select("id", T.text_size(F.col("text")).alias("size"), T.snippet(F.col("text")).alias("snippet"))
+    return base.blocks(spark, sf).select("id", T.text_size(F.col("text")).alias("size"), T.snippet(F.col("text")).alias("snippet"))
 
 
 @query("citations", f"WITH {BLOCKS} SELECT doc_id AS section, id AS block FROM blocks WHERE {CITED}")
@@ -172,7 +171,7 @@ def vocabulary_sizes(spark: SparkSession, sf: str) -> DataFrame:
 @query("letter_shares", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\\p{L}')) > 0 THEN round(len(regexp_extract_all(text, '[à-ÿ]')) / len(regexp_extract_all(text, '\\p{L}')), 3) END AS share FROM documents WHERE NOT contains(text, '$')")
 def letter_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a script (marked Latin letters here) among letters."""
-    return table(spark, sf, "documents").where("NOT contains(text, '$')").select("doc_id", T.letter_share(F.col("text"), "à-ÿ").alias("share"))
+    return table(spark, sf, "documents").select("doc_id", T.letter_share(F.col("text"), "à-ÿ").alias("share"))
 
 
 @query("delooped_lines", f"""WITH {BLOCKS}, n AS (SELECT *, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM blocks),

@@ -26,8 +26,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN ms // 3600000 > 0 THEN printf('%d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%02d:%02d', ms // 60000, (ms // 1000) % 60) END AS clock FROM m WHERE ms % 1000 < 999""")
 def srt_times(spark: SparkSession, sf: str) -> DataFrame:
     """Subtitle and clock times."""
-    rows = base.segments(spark, sf).where("pmod(cast(round(start * 1000) AS bigint), 1000) < 999")
-    return rows.select("rec", "pos", T.srt_time(F.col("start")).alias("t"), T.clock(F.col("start") + 0.0005).alias("clock"))
+    return base.segments(spark, sf).select("rec", "pos", T.srt_time(F.col("start")).alias("t"), T.clock(F.round(F.col("start") * 1000) / 1000).alias("clock"))
 
 
 @query("subtitles")

@@ -1,6 +1,7 @@
 """Queries over whole tables against plain models: no subset of ids, no rows left out."""
 
 import math
+import re
 
 from selvage.plans import registry
 from selvage.tables import table
@@ -18,3 +19,37 @@ def test_kept_groups_and_natural_order(spark):
     assert sorted((r.grp, r["first"], r["last"], r.n, r.z) for r in got) == want
     keys = sorted(r[0] for r in table(spark, SF, "customer").select("c_custkey").collect())
     assert sorted(map(tuple, registry.QUERIES["natural_order"](spark, SF).collect())) == list(zip(keys, range(1, len(keys) + 1), strict=True))
+
+
+def test_formulas_comments_percents_and_nulls_stay(spark, tmp_path):
+    texts = {1: "Prix élevé $à^2$ fin", 2: None, 3: "a <!-- src: S1.b001 --> b $$x + y$$ c", 4: "é" * 100, 5: "$5 sans fin", 6: "12"}
+    docs = [(i, t, "s") for i, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    math_ = r"(?s)\$\$.*?\$\$|\$[^$\n]*\$"
+    want = {}
+    for i, t in texts.items():
+        s = re.sub(math_, " ", t or "")
+        letters = [c for c in s if c.isalpha()]
+        want[i] = round(sum("à" <= c <= "ÿ" for c in letters) / len(letters), 3) if letters else None
+    assert {r.doc_id: r.share for r in run("letter_shares")} == want
+    size = {i: len(re.sub(r"\s", "", re.sub(r"(?s)<!--.*?-->", "", t))) for i, t in texts.items() if t}
+    got = {int(r.id[1:].split(".")[0]): (r["size"], r.snippet) for r in run("text_measures")}
+    assert {i: z for i, (z, _) in got.items()} == size
+    assert [got[1][1], got[4][1], got[5][1]] == ["Prix élevé … fin", "é" * 79 + "…", "$5 sans fin"]
+    pages = [(1, "http://www.E.org/a%20b/"), (2, None), (3, "https://e.org:443/%C3%A9?q=%26"), (4, "http://e.org/50%/x"), (5, "http://e.org/a+b")]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.key for r in run("url_keys")} == {1: "e.org/a b", 2: None, 3: "e.org/é?q=&", 4: "e.org/50%/x", 5: "e.org/a+b"}
+
+
+def test_srt_times_keep_every_segment(spark, monkeypatch):
+    from selvage.plans import base
+
+    at = [0.0, 1.999, 5.9993, 5.9997, 3599.9994, 3599.9996, 7.0665]
+    data = spark.createDataFrame(list(enumerate(at)), "pos int, start double").selectExpr("1 AS rec", "pos", "start")
+    monkeypatch.setattr(base, "segments", lambda *_: data)
+    got = {r.pos: (r.t, r.clock) for r in registry.QUERIES["srt_times"](spark, "").collect()}
+    for i, s in enumerate(at):
+        ms = math.floor(s * 1000 + 0.5)
+        h, m, x = ms // 3600000, ms // 60000 % 60, ms // 1000 % 60
+        assert got[i] == (f"{h:02d}:{m:02d}:{x:02d},{ms % 1000:03d}", f"{h}:{m:02d}:{x:02d}" if h else f"{m:02d}:{x:02d}")
