@@ -148,10 +148,9 @@ def headings_contents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("last_verdicts", "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id HAVING count(*) = 1")
 def last_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """The last label of a document (of those labelled once)."""
-    x = table(spark, sf, "labels")
-    once = x.groupBy("doc_id").count().where("count = 1").select("doc_id")
-    return B.last_wins(x.join(once, "doc_id", "left_semi").withColumn("ord", F.lit(1)), ["doc_id"], "ord").select("doc_id", "quality", "toxic")
+    """The last label of a document, by file and row of the table."""
+    x = table(spark, sf, "labels").withColumn("ord", F.struct("_metadata.file_name", "_metadata.row_index"))
+    return B.last_wins(x, ["doc_id"], "ord").select("doc_id", "quality", "toxic")
 
 
 @query("error_kinds", "SELECT event_type, CASE WHEN event_type = 'error' THEN 'rate_limit' END AS kind, count(*) AS n FROM events GROUP BY ALL")

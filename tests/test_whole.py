@@ -53,3 +53,9 @@ def test_srt_times_keep_every_segment(spark, monkeypatch):
         ms = math.floor(s * 1000 + 0.5)
         h, m, x = ms // 3600000, ms // 60000 % 60, ms // 1000 % 60
         assert got[i] == (f"{h:02d}:{m:02d}:{x:02d},{ms % 1000:03d}", f"{h}:{m:02d}:{x:02d}" if h else f"{m:02d}:{x:02d}")
+
+
+def test_last_of_several_labels_wins(spark, tmp_path):
+    data = [(1, 0, 0), (2, 1, 0), (1, 1, 1), (3, None, 1), (1, 0, 1), (3, 1, None)]
+    spark.createDataFrame(data, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(tuple, registry.QUERIES["last_verdicts"](spark, str(tmp_path)).collect())) == [(1, 0, 1), (2, 1, 0), (3, 1, None)]
