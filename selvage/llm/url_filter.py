@@ -24,7 +24,10 @@ DEFAULT = "allow"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: The two attributes in either order.
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def host(url: Column) -> Column:
@@ -66,12 +69,36 @@ def node(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host(url), path(url), F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)))
 
 
+def _undotted(p: Column) -> Column:
+    """A path that starts with a slash without its '.' and '..' segments."""
+    parts = F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/")))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The target of a link on the page ``url``, as a browser reads it; null for other schemes and for places in the page."""
+    at = F.concat(F.lit("http://"), host(url))
+    own, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path(url), r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.rlike(to, F.lit(_SCHEME + "//")), to).when(F.rlike(to, F.lit(_SCHEME)) | F.startswith(to, F.lit("#")), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to)).when(~F.contains(url, F.lit("://")), F.lit(None))
+        .when(F.startswith(to, F.lit("?")), F.concat(at, path(url), to))
+        .otherwise(F.concat(at, _undotted(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))), rest))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) from each page's URL to its canonical link and its refresh target; relative targets are resolved against the host."""
+    """(a, b) from each page's URL to its canonical link and its refresh target; relative targets are resolved against the page's URL."""
     link = F.regexp_extract(F.regexp_extract("html", _TAG, 0), _HREF, 1)
     one = pages.select("url", F.explode(F.array(link, F.regexp_extract("html", _REFRESH, 1))).alias("to")).where("url IS NOT NULL AND to <> ''")
-    to = F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat(F.lit("http://"), host(F.col("url")), "to"))
-    return one.select(node(F.col("url")).alias("a"), node(to).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    to = F.col("to")
+    for a, b in _ENTITIES:
+        to = F.replace(to, F.lit(a), F.lit(b))
+    return one.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), to)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None) -> DataFrame:

@@ -178,6 +178,25 @@ def test_urls(spark):
     assert {r.k: r.rule for r in url_filter.by_table(urls, table_, "k").collect()} == {k: v[2] for k, v in got.items() if v[2]}
 
 
+def test_relative_targets(spark):
+    """Targets as urllib resolves them, attributes in either order, entities decoded."""
+    from urllib.parse import urljoin
+
+    urls = ["http://h.org/a/b/c.html?q=1", "https://h.org/a/", "http://h.org"]
+    targets = ["page2.html", "../en/", "?id=1&x=2", "index.html", "./x/./y", "../../../z?u=http://o.org/", "..", "/r/../s", "//o.org/t", "https://o.org/u?v=1#w", "x/y/.."]
+    metas = ['<link rel=canonical href="{}">', '<link href="{}" rel="canonical">', '<meta http-equiv="refresh" content="0; url={}">', '<meta content="0; url={}" http-equiv=refresh>']
+    data = [(u, m.format(t.replace("&", "&amp;")), t) for u in urls for t in targets for m in metas]
+    got = url_filter.page_edges(spark.createDataFrame(data, "url string, html string, t string")).collect()
+    bare = lambda x: x.split("#")[0].split("://", 1)[1]
+    want = {(bare(u), bare(urljoin(u, t))) for u, _, t in data if bare(u) != bare(urljoin(u, t))}
+    assert {(r.a, r.b) for r in got} == want
+    assert len(got) == sum(bare(u) != bare(urljoin(u, t)) for u, _, t in data)
+    other = [("http://h.org/a", f'<link rel=canonical href="{t}">') for t in ("mailto:a@b.org", "javascript:x", "#top")]
+    assert url_filter.page_edges(spark.createDataFrame([*other, ("no scheme", data[0][1])], "url string, html string")).count() == 0
+    rows_ = [(1, "http://a.net/es/x", ""), (2, "http://a.net/q/p", '<meta content="0; url=../es/x" http-equiv=refresh>')]
+    assert {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(rows_, "page_id bigint, url string, html string"), Q.URL_RULES).collect()} == {1: "block", 2: "block"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("\\-<>|/s[]INTturnsepd SY_im\n"), max_size=30))
 def test_escape(text):
