@@ -1,4 +1,4 @@
-"""Markdown and page-text rules as Column expressions."""
+"""Markdown and page-text rules as Column expressions."""
 
 from __future__ import annotations
 

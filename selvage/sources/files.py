@@ -1,4 +1,4 @@
-"""Readers and sinks of the document store."""
+"""Readers and sinks of the document store."""
 
 from __future__ import annotations
 
