@@ -67,7 +67,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     with contextlib.suppress(Py4JJavaError):  # a busy listener only delays the cleaning
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
     jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of :func:`cut` whose last reader has itself been written."""
+    for df in written:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
