@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One word, as a Java regular expression.
@@ -23,6 +24,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def whole_ids(df: DataFrame, col: str) -> Column:
+    """An id column as long.  Ids are whole numbers or null throughout; another type is refused at once, as a cast would lose ids."""
+    kind = df.select(F.col(f"`{col}`")).schema[0].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{col}: ids are whole numbers, not {kind.simpleString()}")
+    return F.col(f"`{col}`").cast("long")
+
+
 def unit(*cols: Column) -> Column:
     """A number in (0, 1) from 52 bits of an MD5, the same in every engine and run."""
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))

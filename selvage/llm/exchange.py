@@ -4,19 +4,27 @@ Many corpus statistics are of the form "for every n-gram of every document, what
 corpus know about it".  Joining n-grams row by row would shuffle tens of bytes for each of them and
 send the third of all rows that share one hot n-gram to one task.  Here
 
-* documents are dealt once to *buckets* by a hash of their id (one shuffle of the text, which all
-  steps reuse, as Spark recognises the same exchange);
-* each bucket sends its *distinct* keys, sorted, to hash ranges as packed arrays (4 or 8 bytes a key
-  plus what the caller adds).  A hot key thus costs one entry a bucket, never one a document;
+* documents are dealt once to *buckets* by a hash (one shuffle of the text);
+* each bucket sends its *distinct* keys, sorted, to hash ranges as packed arrays: differences of the
+  keys and the caller's columns, byte plane by byte plane, compressed.  A hot key thus costs one
+  entry a bucket, never one a document;
 * each range answers with one value per entry, in the order received, so an answer needs no key;
 * the bucket, which computes the same sorted keys again, reads the answers in place.
 
 No step depends on task numbers or on the order of arrival, so a retried task repeats its rows.
-Memory follows the size of a bucket or a range; both counts grow with the data.
+
+*Sizes.*  There are as many ranges as buckets, and both follow from the counted bytes of text, not
+from a setting.  A bucket holds ``BUCKET_BYTES``, or the square root of ``ROW_BYTES`` times the input
+where that is more: then each of the buckets times ranges rows still carries ``ROW_BYTES`` of payload
+on average, so the rows' own cost stays a constant share.  Memory of a task thus grows with the
+square root of the input (4 MB of text up to 0.3 TB, 70 MB at 100 TB).
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+import struct
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -24,26 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvage.session import partitions
+from selvage.llm.common import whole_ids
 
 U = np.uint64
-#: Compressed input bytes for each bucket.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text for each bucket, and of payload for each row between a bucket and a range, at least.
+BUCKET_BYTES, ROW_BYTES = 4 << 20, 50
 ANSWER = "bucket int, part int, data binary"
+_LOW = U(0xFFFFFFFF)
 
 
-def widths(df: DataFrame) -> tuple[int, int]:
-    """Number of buckets and of hash ranges for an input, from the optimizer's size estimate."""
-    p = partitions(df.sparkSession)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return (max(p, min(size // BUCKET_BYTES, 1 << 20)) if size < 1 << 55 else p), p
+def widths(df: DataFrame, text_col: str) -> int:
+    """Number of buckets, and of hash ranges, for the texts of an input (one pass over that column)."""
+    text = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(text + 8), F.lit(0))).first()[0]
+    return max(1, -(-size // max(BUCKET_BYTES, math.isqrt(ROW_BYTES * size))))
 
 
-def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(bucket, id, text, *more): rows of one id share a bucket; rows without an id spread by text."""
-    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+def bucketed(df: DataFrame, buckets: int, id_col: str, text_col: str, *more: str, by_text: bool = False) -> DataFrame:
+    """(bucket, id, text, *more): rows of one id share a bucket (``by_text``: of one id and text); rows without an id spread by text."""
+    key, text = whole_ids(df, id_col), F.col(f"`{text_col}`").cast("string")
     return df.select(
-        F.pmod(F.xxhash64(F.coalesce(key, F.xxhash64(text))), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(key, text) if by_text else F.xxhash64(F.coalesce(key, F.xxhash64(text))), F.lit(buckets)).cast("int").alias("bucket"),
         key.alias("id"), text.cast("binary").alias("text"), *more,
     )
 
@@ -64,53 +73,84 @@ def bucket_of(t: pa.Table) -> int:
     return t["bucket"][0].as_py()
 
 
-def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Limits of the parts in sorted keys."""
-    part = ((keys >> U(32)) * U(parts)) >> U(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=U))
+# -- coding --------------------------------------------------------------------------------------
 
 
-def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] = (), wide: bool = False, base: int = 0) -> pa.Table:
-    """Rows for the ranges: the keys (low half, or ``wide`` whole) and aligned columns, part by part from part ``base`` on."""
-    at = _cut(keys, parts)
-    body = [keys if wide else keys.astype(np.uint32), *cols]
-    no = [r for r in range(parts) if at[r] < at[r + 1]]
-    data = [b"".join(c[at[r] : at[r + 1]].tobytes() for c in body) for r in no]
-    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array([base + r for r in no], pa.int32()), "data": pa.array(data, pa.binary())})
+def coded(cols: Sequence[np.ndarray]) -> bytes:
+    """Aligned arrays as bytes: each by byte plane, so that high bytes, mostly alike, take no room."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in cols)
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def decoded(data: bytes, kinds: Sequence[np.dtype]) -> list[np.ndarray]:
+    """The arrays of :func:`coded`."""
+    size = struct.unpack_from("<Q", data)[0]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], size), np.uint8)
+    n, at, out = size // sum(k.itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.ascontiguousarray(raw[at : at + n * k.itemsize].reshape(k.itemsize, n).T).view(k).ravel())
+        at += n * k.itemsize
+    return out
+
+
+def freeze(arrays: dict[str, np.ndarray]) -> bytes:
+    """A bucket's own arrays, of any lengths, as bytes."""
+    return pickle.dumps({k: (a.dtype.str, coded([a])) for k, a in arrays.items()})
+
 
+def thaw(data: bytes) -> dict[str, np.ndarray]:
+    return {k: decoded(b, [np.dtype(d)])[0] for k, (d, b) in pickle.loads(data).items()}  # noqa: S301 - written by freeze
+
+
+# -- messages ------------------------------------------------------------------------------------
+
+
+def _place(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Range of each key above 32 bits, and its place in the range in the 32 bits below; rises with the key."""
+    with np.errstate(over="ignore"):
+        return (keys >> U(32)) * U(parts) + (((keys & _LOW) * U(parts)) >> U(32))
+
+
+def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] = (), wide: bool = False) -> pa.Table:
+    """Rows for the ranges: the sorted distinct keys (32 bits within the range, or ``wide``: whole) and aligned columns."""
+    place = _place(keys, parts)
+    at = np.searchsorted(place >> U(32), np.arange(parts + 1, dtype=U))
+    body = keys if wide else (place & _LOW).astype(np.uint32)
+    step = body.copy()
+    step[1:] -= body[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    step[first] = body[first]
+    no = [r for r in range(parts) if at[r] < at[r + 1]]
+    data = [coded([c[at[r] : at[r + 1]] for c in (step, *cols)]) for r in no]
+    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array(no, pa.int32()), "data": pa.array(data, pa.binary())})
 
-def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray], second: tuple[int, Sequence[str], Callable[..., np.ndarray]] | None = None) -> DataFrame:
-    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range gives an aligned array.
 
-    ``second`` (first part, dtypes, answer) handles entries of another form that a bucket sent in the
-    same pass, to the parts from that number on.
-    """
+def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray]) -> DataFrame:
+    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range, in the order of buckets, gives an aligned array."""
+    kinds = [np.dtype(d) for d in dtypes]
 
     def reply(t: pa.Table) -> pa.Table:
-        form, fn = (dtypes, answer) if second is None or t["part"][0].as_py() < second[0] else second[1:]
-        kinds = [np.dtype(d) for d in form]
-        width = sum(k.itemsize for k in kinds)
-        data = t["data"].to_pylist()
-        sizes = [len(d) // width for d in data]
-        cols: list[list[np.ndarray]] = [[] for _ in kinds]
-        for d, n in zip(data, sizes, strict=True):
-            at = 0
-            for c, k in zip(cols, kinds, strict=True):
-                c.append(np.frombuffer(d, k, n, at))
-                at += n * k.itemsize
-        del data
-        got = fn(*(np.concatenate(c) for c in cols))
+        t = t.sort_by("bucket")
+        got = [decoded(d, kinds) for d in (x.as_py() for x in t["data"])]
+        sizes = [len(g[0]) for g in got]
+        for g in got:
+            g[0] = np.cumsum(g[0], dtype=g[0].dtype)
+        cols = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
+        del got
+        out = answer(*cols)
+        del cols
         ends = np.cumsum([0, *sizes])
-        out = [got[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"bucket": t["bucket"].cast(pa.int32()), "part": t["part"].cast(pa.int32()), "data": pa.array(out, pa.binary())})
+        data = [coded([out[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"bucket": t["bucket"].cast(pa.int32()), "part": t["part"].cast(pa.int32()), "data": pa.array(data, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(reply, ANSWER)
 
 
 def received(t: pa.Table, dtype: str, lo: int = 0, hi: int = 1 << 31) -> np.ndarray:
     """Answers of a bucket in the order of its sorted keys; parts ``lo`` to ``hi`` only."""
-    rows = sorted((p, d) for p, d in zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True) if lo <= p < hi)
-    return np.frombuffer(b"".join(d for _, d in rows), np.dtype(dtype))
+    kind = np.dtype(dtype)
+    rows = sorted((p, i) for i, p in enumerate(t["part"].to_pylist()) if lo <= p < hi)
+    return np.concatenate([np.zeros(0, kind), *(decoded(t["data"][i].as_py(), [kind])[0] for _, i in rows)])
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ _FOLD[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 #: Odd multipliers, so that each has an inverse modulo 2**64.
-_P_BYTE, _P_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_P_BYTE, _P_WORD, _P_CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 #: Bytes hashed at a time.
 _STEP = 1 << 19
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -99,12 +99,15 @@ class Words:
         """Text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.count())
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the n words from each word on, over the whole buffer, and which of them stay in one text."""
+    def grams(self, n: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the n words from each word on, over the whole buffer, and which of them stay in one text.
+
+        ``check``: another hash, which with the first makes 128 bits.
+        """
         k = len(self.hash)
         if k < n:
             return np.zeros(0, U), np.zeros(0, bool)
-        power, inverse = _powers(_P_WORD, k + 1)
+        power, inverse = _powers(_P_CHECK if check else _P_WORD, k + 1)
         with np.errstate(over="ignore"):
             total = np.concatenate((np.zeros(1, U), np.cumsum(self.hash * power[:k], dtype=U)))
             g = mix((total[n:] - total[:-n]) * inverse[: k - n + 1] + U(n))

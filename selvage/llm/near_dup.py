@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are ignored, whatever their names.  An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    buckets, parts = X.widths(docs)
+    buckets = parts = X.widths(docs, "text")
     marked = cut(fingerprints(docs, buckets, "doc_id", "text", k), "sets")
     classes = cut(marked.where("n > 0").groupBy("cid").agg(F.min("id").alias("low"), F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = cut(survivors(docs, classes, buckets, parts, "doc_id", "text", k, num, den), "survivors")

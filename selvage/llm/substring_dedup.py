@@ -7,8 +7,11 @@ block of ``block = window // 2`` words that starts at a multiple of ``block``.
    window of ``block`` words probes them.  Both meet in a two-way exchange
    (:mod:`selvage.llm.exchange`): a block hash is *live* if it is a reference block somewhere and
    occurs at least twice.
-2. *Extension.*  Around live anchors only, each hit grows to full windows, whose 64-bit hashes meet
-   in a second exchange; the earliest occurrence of each (id, then position) wins.
+2. *Extension.*  Around live anchors only, each hit grows word by word to every full window that
+   holds it.  Windows are the same if 128 bits of hash agree (two independent 64-bit hashes: with
+   10^14 windows the chance that any two differ unnoticed is below 10^-10), so a collision of one
+   hash never deletes text.  They meet in a second exchange; the earliest occurrence (id, then
+   position) wins.
 3. Overlapping repeated windows join into maximal repeats, and their words are removed.
 
 Each bucket sends a hash once however often it occurs there, and for the second exchange only its
@@ -66,16 +69,21 @@ class _Bucket:
         block[self.inverse[_aligned(self.w, self.block)[self.at]]] = 1
         return block | np.where(self.count > 1, 2, 0).astype(np.uint8)
 
-    def windows(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct full windows that hold a live anchor: hash, first word, and for each occurrence its word and hash number."""
+    def windows(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct full windows that hold a live anchor: both hashes, first word, and for each occurrence its word and number."""
         g, ok = self.w.grams(self.window)
         hit = np.zeros(len(self.w.hash) + 1, np.int64)
         hit[self.at[live[self.inverse] > 0] + 1] = 1
         total = np.cumsum(hit)
         s = np.flatnonzero(ok)
         s = s[total[s + self.window - self.block + 1] > total[s]] if len(s) else s
-        keys, first, inverse = np.unique(g[s], return_index=True, return_inverse=True)
-        return keys, s[first], s, inverse
+        g, check = g[s], self.w.grams(self.window, check=True)[0][s]
+        order = np.lexsort((s, check, g))
+        a, b = g[order], check[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(s)]
+        number = np.empty(len(s), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return a[new], b[new], s[order[new]], s, number
 
 
 def _live(keys: np.ndarray, flag: np.ndarray) -> np.ndarray:
@@ -85,17 +93,17 @@ def _live(keys: np.ndarray, flag: np.ndarray) -> np.ndarray:
     return (block & twice)[group].astype(np.uint8)
 
 
-def _earliest(keys: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    order = np.lexsort((pos, ids, keys))
-    k = keys[order]
+def _earliest(keys: np.ndarray, check: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    order = np.lexsort((pos, ids, check, keys))
+    k, c = keys[order], check[order]
     out = np.zeros(len(keys), np.uint8)
-    out[order[np.concatenate(([True], k[1:] != k[:-1]))]] = 1
+    out[order[np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))]] = 1
     return out
 
 
 def _removed(b: _Bucket, live: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Words covered by a window that also starts earlier."""
-    _, own, s, inverse = b.windows(live)
+    _, _, own, s, inverse = b.windows(live)
     again = s[~((s == own[inverse]) & (first[inverse] > 0))]
     edge = np.zeros(len(b.w.hash) + 1, np.int64)
     np.add.at(edge, again, 1)
@@ -150,9 +158,9 @@ def _passes(texts: DataFrame, parts: int, window: int, last, schema: str) -> Dat
 
     def extend(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Bucket(left, window)
-        keys, own, _, _ = b.windows(X.received(right, "u1"))
+        keys, check, own, _, _ = b.windows(X.received(right, "u1"))
         ids, pos = _positions(b.w, b.ids)
-        return X.pack(key[0].as_py(), parts, keys, [ids[own], pos[own]], wide=True)
+        return X.pack(key[0].as_py(), parts, keys, [check, ids[own], pos[own]], wide=True)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = _Bucket(left, window)
@@ -162,7 +170,7 @@ def _passes(texts: DataFrame, parts: int, window: int, last, schema: str) -> Dat
     by = texts.groupBy("bucket")
     live = X.answered(by.applyInArrow(probe, X.ANSWER), ("u4", "u1"), _live)
     sent = by.cogroup(live.groupBy("bucket")).applyInArrow(extend, X.ANSWER)
-    first = X.answered(sent, ("u8", "i8", "i8"), _earliest)
+    first = X.answered(sent, ("u8", "u8", "i8", "i8"), _earliest)
     both = live.unionByName(first.withColumn("part", F.col("part") + F.lit(parts)))
     return by.cogroup(both.groupBy("bucket")).applyInArrow(finish, schema)
 
@@ -173,10 +181,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``window`` words that covers it also starts earlier (smaller id, or
     same document and earlier).  Null and wordless texts have no words and lose none.  Null ids come
     first; rows of one id count as one document whose parts follow in the order of their texts (no
-    window spans two parts), so of repeated rows one keeps its words.  Other columns are ignored.
+    window spans two parts), so of repeated rows one keeps its words.  Ids are whole numbers.  Very long
+    texts are read whole.  Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    buckets, parts = X.widths(docs.select(id_col, text_col))
-    texts = X.bucketed(docs, buckets, id_col, text_col)
+    parts = X.widths(docs, text_col)
+    texts = X.bucketed(docs, parts, id_col, text_col)
     return _passes(texts, parts, window, lambda b, gone, _: _digests(b, gone), RESULT).withColumnRenamed("id", id_col)
 
 
@@ -186,10 +195,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts that lose nothing are unchanged, null included; a text that loses every word becomes empty,
     or its row goes (``drop_emptied``).
     """
-    buckets, parts = X.widths(docs)
+    parts = X.widths(docs, text_col)
     keep = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    texts = X.bucketed(packed, buckets, "__id", "__text", "rest")
+    texts = X.bucketed(packed, parts, "__id", "__text", "rest")
 
     def last(b: _Bucket, gone: np.ndarray, left: pa.Table) -> pa.Table:
         order = X.row_order(left)

@@ -1,23 +1,29 @@
 """Operator 4: language-model scoring by a probabilistic suffix tree over words.
 
-States are contexts of zero, one or two words.  A longer context is retained only if it passes a
-divergence test against its suffix: the log-likelihood ratio of its next-symbol distribution to the
-suffix's, summed over the training occurrences, each left out of its own estimate, must exceed
-``GAIN`` nats.  Next-symbol distributions are smoothed with the suffix state's,
-``(count + mu * p_suffix) / (total + mu)``, down to the add-one unigram base.  A token is scored in the
-state of the longest retained suffix of what precedes it in its document.
-
-The tree is never gathered: counts of words, pairs and triples, and the sums of the tests, meet in
-two-way exchanges (:mod:`selvage.llm.exchange`), in which each bucket of documents asks for exactly the
-states that its texts can visit.  Keys are sent whole: a merged count would be a wrong result, not an
-extra comparison.  All counts cover all training documents, without pruning by rank, and
-what is gathered grows with the corpus; hot words cost one entry a bucket.
+States are contexts of any number of words up to ``depth``.  The tree grows level by level.  A context
+of k words is *tested* if it occurs ``LEAST`` times in training, its suffix of k - 1 words is a state and
+its prefix of k - 1 words was tested; it is *retained* as a state by a divergence test against its
+suffix: the log-likelihood ratio of its next-symbol distribution to the suffix's, each training
+occurrence left out of its own estimate and charged ``RATIO`` nats, must sum to more than ``GAIN``.
+So the tree is closed under suffixes, and growth ends by itself once no context passes.
+Next-symbol distributions are smoothed with the suffix state's, ``(count + m * p_suffix) / (total + m)``,
+down to the add-one unigram base; each state takes the mass m of ``MASSES`` under which that sum is
+largest.  A token is scored in the state of the longest retained suffix of what precedes it in its
+document.
+
+The tree is never gathered.  The text is shuffled once and kept as one row of compressed token numbers
+for each bucket of documents; counts of n-grams and sums of tests meet in two-way exchanges
+(:mod:`selvage.llm.exchange`), in which each bucket asks for exactly the states that its texts can
+visit.  Tokens whose longest state is settled are added to their document's score and leave the
+next levels.  Keys are sent whole: a merged count would be a wrong result, not an extra comparison.
+Counts are 64 bits wide and cover all training documents, without pruning by rank; what is gathered
+grows with the corpus, and hot words cost one entry a bucket.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selvage.llm import exchange as X
-from selvage.llm.kernel import Words
-from selvage.session import cut
+from selvage.llm.kernel import Words, mix
+from selvage.session import cut, release
 
 U = np.uint64
-#: Nats that a context must gain over its suffix.
-GAIN = 2.0
-#: Smoothing mass of the suffix's distribution, for contexts of one and of two words.
-MU = (10.0, 1.0)
+#: Longest context in words.
+DEPTH = 8
+#: Nats that a context must gain over its suffix in all, and each occurrence beforehand.
+GAIN, RATIO = 2.0, 0.05
+#: Smoothing masses to choose from.
+MASSES = (1.0, 8.0, 64.0, 512.0)
 #: Training occurrences of a context at least: below two nothing can be left out.
 LEAST = 2
 END = U(0x8F1BBCDCBFA53E0B)
 _FIRST = np.int64(1) << np.int64(62)
+STATE = "bucket int, live bigint, data binary"
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -45,91 +54,107 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-class _Bucket:
-    """Token sequences of a bucket: the words of each text, lower-cased, and one end."""
+class Bucket:
+    """The documents of a bucket as token numbers, and the tokens that are not settled yet.
 
-    def __init__(self, t: pa.Table) -> None:
-        self.ids, texts = X.rows_in_order(t)
-        w = Words(texts, lower=True)
-        n = w.count()
-        self.size = n + 1
-        self.owner = np.repeat(np.arange(len(n)), self.size)
-        self.tokens = np.empty(len(self.owner), U)
-        ends = np.cumsum(self.size) - 1
-        is_word = np.ones(len(self.owner), bool)
-        is_word[ends] = False
-        self.tokens[is_word], self.tokens[ends] = w.hash, END
-        self.train = ~np.array([held_out(i) for i in self.ids], bool)[self.owner]
-        self.keys, self.inverse = np.unique(self.tokens, return_inverse=True)
-
-    def local(self) -> np.ndarray:
-        return np.bincount(self.inverse, weights=self.train, minlength=len(self.keys)).astype(np.uint32)
+    Arrays kept between jobs: ``id``, ``null`` and ``size`` (tokens) of each document, the distinct
+    token hashes ``keys`` and for each token its number ``token``; then ``count`` (of each key, in
+    training) and each document's ``score`` so far; from the second level on the positions ``at`` of
+    unsettled tokens, the training count ``n`` of the context and the suffix state's probability ``p``.
+    """
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the n tokens that end at each position, and whether they lie in one text."""
-        out, ok = self.tokens.copy(), np.ones(len(self.tokens), bool)
+    def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, distinct: int = 0) -> None:
+        self.kept = arrays
+        self.size, self.keys, self.token = arrays["size"], arrays["keys"], arrays["token"]
+        self.ids = [None if x else int(i) for i, x in zip(arrays["id"], arrays["null"], strict=True)]
+        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+        self.held = np.array([held_out(i) for i in self.ids], bool)
+        self.train = ~self.held[self.owner]
+        self.total, self.distinct = total, distinct
+        self.at = np.zeros(0, np.int64)
+        if "at" in arrays:
+            self.at, self.n, self.p = np.cumsum(arrays["at"], dtype=np.int64), arrays["n"], arrays["p"].astype(np.float64)
+        elif "count" in arrays:
+            count, base = arrays["count"][self.token], self.base()
+            inside = np.concatenate(([False], self.owner[1:] == self.owner[:-1])) if len(self.owner) else np.zeros(0, bool)
+            before = np.concatenate((count[:1], count[:-1]))
+            self.at = np.flatnonzero(inside & (before >= LEAST))
+            self.n, self.p = before[self.at], base[self.at]
+
+    @classmethod
+    def read(cls, t: pa.Table) -> Bucket:
+        """Words of each text, lower-cased, and one end."""
+        ids, texts = X.rows_in_order(t)
+        w = Words(texts, lower=True)
+        size = w.count() + 1
+        tokens = np.full(int(size.sum()), END)
+        is_word = np.ones(len(tokens), bool)
+        is_word[np.cumsum(size) - 1] = False
+        tokens[is_word] = w.hash
+        keys, token = np.unique(tokens, return_inverse=True)
+        return cls({"id": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids], np.uint8), "size": size.astype(np.int64), "keys": keys, "token": token.astype(np.uint32)})
+
+    def row(self, bucket: int) -> pa.Table:
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "live": pa.array([len(self.at)], pa.int64()), "data": pa.array([X.freeze(self.kept)], pa.binary())})
+
+    def base(self) -> np.ndarray:
+        """Unigram probability of each token."""
+        return ((self.kept["count"] + 1.0) / (self.total + self.distinct + 1.0))[self.token]
+
+    def grams(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n tokens that end at each position."""
+        out = self.keys[self.token[at]]
         with np.errstate(over="ignore"):
             for k in range(1, n):
-                out[k:] = (out[k:] ^ (out[k:] >> U(32))) * U(0xD6E8FEB86659FD93) + self.tokens[:-k] * U(0xA0761D6478BD642F + 2 * k)
-                ok[k:] &= self.owner[k:] == self.owner[:-k]
-                ok[:k] = False
-            out ^= out >> U(32)
-            return out * U(0x9E3779B97F4A7C15), ok
-
-    def shifted(self, x: np.ndarray, by: int = 1) -> np.ndarray:
-        """The value one position earlier; only read where a context lies in the text."""
-        return np.concatenate((x[:by], x[:-by])) if len(x) > by else x
-
-    # -- answers ---------------------------------------------------------------------------
-
-    def unigrams(self, t: pa.Table, p: int, total: int, distinct: int) -> None:
-        self.c1 = (X.received(t, "i8", 0, p) & (_FIRST - 1))[self.inverse]
-        self.p0 = (self.c1 + 1.0) / (total + distinct + 1.0)
-        g, ok = self.grams(2)
-        self.ctx1 = ok & (self.shifted(self.c1) >= LEAST)
-        self.at2 = np.flatnonzero(self.ctx1 & (self.c1 > 0))
-        self.keys2, self.inv2 = np.unique(g[self.at2], return_inverse=True)
-
-    def _counts(self, at: np.ndarray, inv: np.ndarray, got: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.tokens), np.int64)
-        out[at] = got[inv]
-        return out
-
-    def pairs(self, t: pa.Table, p: int) -> None:
-        self.c2 = self._counts(self.at2, self.inv2, X.received(t, "u4", p, 2 * p))
-        g, ok = self.grams(3)
-        self.ctx2 = ok & self.ctx1 & (self.shifted(self.c2) >= LEAST)
-        self.at3 = np.flatnonzero(self.ctx2 & (self.c2 > 0))
-        self.keys3, self.inv3 = np.unique(g[self.at3], return_inverse=True)
-        before = self.shifted(self.tokens)
-        self.names1, self.of1 = np.unique(before[self.ctx1], return_inverse=True)
-
-    def gain1(self) -> np.ndarray:
-        """What this bucket's training tokens add to the test of each one-word context."""
-        at = self.ctx1
-        n, c, p, train = self.shifted(self.c1)[at], self.c2[at], self.p0[at], self.train[at]
-        left = (np.maximum(c - 1, 0) + MU[0] * p) / (n - 1 + MU[0])
-        return np.bincount(self.of1, weights=np.where(train, np.log(left / p), 0.0), minlength=len(self.names1))
-
-    def states1(self, t: pa.Table, p: int) -> None:
-        self.c3 = self._counts(self.at3, self.inv3, X.received(t, "u4", 2 * p, 3 * p))
-        kept = np.zeros(len(self.tokens), bool)
-        kept[self.ctx1] = X.received(t, "u1", 3 * p, 4 * p)[self.of1] > 0
-        n = self.shifted(self.c1)
-        self.p1 = np.where(kept, (self.c2 + MU[0] * self.p0) / (n + MU[0]), self.p0)
-        g, _ = self.grams(2)
-        self.names2, self.of2 = np.unique(self.shifted(g)[self.ctx2], return_inverse=True)
-
-    def gain2(self) -> np.ndarray:
-        at = self.ctx2
-        n, c, p, train = self.shifted(self.c2)[at], self.c3[at], self.p1[at], self.train[at]
-        left = (np.maximum(c - 1, 0) + MU[1] * p) / (n - 1 + MU[1])
-        return np.bincount(self.of2, weights=np.where(train, np.log(left / p), 0.0), minlength=len(self.names2))
-
-    def probabilities(self, t: pa.Table, p: int) -> np.ndarray:
-        kept = np.zeros(len(self.tokens), bool)
-        kept[self.ctx2] = X.received(t, "u1", 4 * p, 5 * p)[self.of2] > 0
-        return np.where(kept, (self.c3 + MU[1] * self.p1) / (self.shifted(self.c2) + MU[1]), self.p1)
+                out = mix(out) + self.keys[self.token[at - k]] * U(0xA0761D6478BD642F + 2 * k)
+            return mix(out ^ U(n))
+
+    def local(self) -> np.ndarray:
+        return np.bincount(self.token, weights=self.train, minlength=len(self.keys)).astype(np.uint32)
+
+    def counted(self, t: pa.Table) -> None:
+        """Take the words' counts; tokens without a context to test are settled at the base."""
+        self.kept = {**self.kept, "count": X.received(t, "i8") & (_FIRST - 1)}
+        self.__init__(self.kept, self.total, self.distinct)
+        done = np.ones(len(self.token), bool)
+        done[self.at] = False
+        self.kept["score"] = np.bincount(self.owner[done], weights=np.log10(self.base()[done]), minlength=len(self.size))
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of context and token, their local counts, and each position's number."""
+        keys, number = np.unique(self.grams(self.at, level + 1), return_inverse=True)
+        return keys, np.bincount(number, weights=self.train[self.at], minlength=len(keys)).astype(np.uint32), number
+
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.grams(self.at - 1, level), return_inverse=True)
+
+    def gains(self, c: np.ndarray, of: np.ndarray, contexts: int) -> list[np.ndarray]:
+        """What the training tokens add to the test of each context, for each smoothing mass."""
+        learn = self.train[self.at]
+        c, n, p, of = c[learn], self.n[learn], self.p[learn], of[learn]
+        return [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts).astype(np.float32) for m in MASSES]
+
+    def settled(self, c: np.ndarray, mass: np.ndarray) -> None:
+        """Score in the states of this level (``mass``: number of the state's mass, 0 for no state) and keep what goes deeper."""
+        m = np.concatenate(([0.0], MASSES))[mass]
+        p = np.where(mass > 0, (c + m * self.p) / (self.n + m), self.p)
+        follows = np.zeros(len(self.at), bool)  # the token before was tested too: its n-gram is the longer context
+        follows[1:] = (self.at[1:] == self.at[:-1] + 1) & (self.owner[self.at[1:]] == self.owner[self.at[:-1]])
+        longer = np.concatenate((c[:1], c[:-1]))
+        deep = follows & (mass > 0) & (longer >= LEAST)
+        done = self.at[~deep]
+        self.kept["score"] = self.kept["score"] + np.bincount(self.owner[done], weights=np.log10(p[~deep]), minlength=len(self.size))
+        at = self.at[deep]
+        self.kept |= {"at": np.diff(at, prepend=0).astype(np.uint32), "n": longer[deep].astype(np.int64), "p": p[deep].astype(np.float32)}
+        self.at, self.n, self.p = at, self.kept["n"], self.kept["p"].astype(np.float64)
+
+    def result(self) -> pa.RecordBatch:
+        """What is not settled at the greatest depth scores in the state that it has."""
+        left = np.bincount(self.owner[self.at], weights=np.log10(self.p), minlength=len(self.size))
+        add = lambda x: np.bincount(self.owner, weights=x, minlength=len(self.size))
+        known = add(self.kept["count"][self.token] > 0).astype(np.int64)
+        cols = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.size), pa.array(known), pa.array([self.total] * len(known), pa.int64()), pa.array(add(np.log10(self.base()))), pa.array(self.kept["score"] + left)]
+        return pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def _word_counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -145,15 +170,14 @@ def _word_counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     group, size = X.groups(keys)
-    return np.minimum(np.bincount(group, weights=n, minlength=len(size)), 2**32 - 1).astype(np.uint32)[group]
+    return np.bincount(group, weights=n, minlength=len(size)).astype(np.int64)[group]
 
 
-def _passed(keys: np.ndarray, gain: np.ndarray) -> np.ndarray:
+def _states(keys: np.ndarray, *gains: np.ndarray) -> np.ndarray:
+    """Number of the best mass of each context that passes, else 0; entries come in the order of buckets, so reruns agree."""
     group, size = X.groups(keys)
-    # sums of partial sums in sorted order, so that reruns agree
-    order = np.lexsort((gain, group))
-    total = np.bincount(group[order], weights=gain[order].astype(np.float64), minlength=len(size))
-    return (total > GAIN).astype(np.uint8)[group]
+    total = np.stack([np.bincount(group, weights=g.astype(np.float64), minlength=len(size)) for g in gains])
+    return np.where(total.max(axis=0) > GAIN, total.argmax(axis=0) + 1, 0).astype(np.uint8)[group]
 
 
 def _totals(answers: DataFrame) -> tuple[int, int]:
@@ -163,7 +187,7 @@ def _totals(answers: DataFrame) -> tuple[int, int]:
         n = v = 0
         for t in batches:
             for d in t.column("data").to_pylist():
-                x = np.frombuffer(d, np.int64)
+                x = X.decoded(d, [np.dtype("i8")])[0]
                 first = x[x >= _FIRST] & (_FIRST - 1)
                 n, v = n + int(first.sum()), v + len(first)
         yield pa.record_batch({"n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
@@ -172,61 +196,69 @@ def _totals(answers: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    Null and empty texts are one end token.  Repeated rows train as often as they occur and score
-    alike.  Null ids train.  Other columns are ignored; an empty table gives no rows.
+    ``depth``: longest context in words.  Null and empty texts are one end token.  Very long texts
+    are scored whole, in one bucket.  Repeated rows train as often as they occur and score alike.  Ids
+    are whole numbers; null ids train.  Of smoothing masses that do equally well the smallest is
+    taken.  Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    buckets, p = X.widths(docs.select(id_col, text_col))
-    texts = X.bucketed(docs, buckets, id_col, text_col)
-    by = texts.groupBy("bucket")
-
-    def words(t: pa.Table) -> pa.Table:
-        b = _Bucket(t)
-        return X.pack(X.bucket_of(t), p, b.keys, [b.local()], wide=True)
-
-    one = cut(X.answered(by.applyInArrow(words, X.ANSWER), ("u8", "u4"), _word_counts), "words")
-    total, distinct = _totals(one)
-    at = lambda df, k: df.withColumn("part", F.col("part") + F.lit(k * p))
-
-    def state(left: pa.Table, right: pa.Table, depth: int) -> _Bucket:
-        b = _Bucket(left)
-        b.unigrams(right, p, total, distinct)
-        if depth > 1:
-            b.pairs(right, p)
-        if depth > 2:
-            b.states1(right, p)
-        return b
-
-    def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = state(left, right, 1)
-        n = np.bincount(b.inv2, weights=b.train[b.at2], minlength=len(b.keys2)).astype(np.uint32)
-        return X.pack(key[0].as_py(), p, b.keys2, [n], wide=True)
-
-    def triples(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = state(left, right, 2)
-        n = np.bincount(b.inv3, weights=b.train[b.at3], minlength=len(b.keys3)).astype(np.uint32)
-        bucket = key[0].as_py()
-        return pa.concat_tables([X.pack(bucket, p, b.keys3, [n], wide=True), X.pack(bucket, p, b.names1, [b.gain1().astype(np.float32)], wide=True, base=p)])
-
-    def tests(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = state(left, right, 3)
-        return X.pack(key[0].as_py(), p, b.names2, [b.gain2().astype(np.float32)], wide=True)
-
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = state(left, right, 3)
-        add = lambda x: np.bincount(b.owner, weights=x, minlength=len(b.ids))
-        n = len(b.ids)
-        return pa.table({
-            "doc_id": pa.array(b.ids, pa.int64()), "held_out": pa.array([held_out(i) for i in b.ids], pa.bool_()), "n_tokens": pa.array(b.size, pa.int64()),
-            "n_known": pa.array(add(b.c1 > 0).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
-            "base_score": pa.array(add(np.log10(b.p0))), "score": pa.array(add(np.log10(b.probabilities(right, p)))),
-        })
-
-    ask = lambda known, f: by.cogroup(known.groupBy("bucket")).applyInArrow(f, X.ANSWER)
-    known = one
-    known = known.unionByName(cut(at(X.answered(ask(known, pairs), ("u8", "u4"), _counts), 1), "pairs"))
-    known = known.unionByName(cut(at(X.answered(ask(known, triples), ("u8", "u4"), _counts, (p, ("u8", "f4"), _passed)), 2), "triples"))
-    known = known.unionByName(cut(at(X.answered(ask(known, tests), ("u8", "f4"), _passed), 4), "tests"))
-    return by.cogroup(known.groupBy("bucket")).applyInArrow(finish, RESULT).withColumnRenamed("doc_id", id_col)
+    parts = X.widths(docs, text_col)
+    texts = X.bucketed(docs, parts, id_col, text_col, by_text=True)
+    state = cut(texts.groupBy("bucket").applyInArrow(lambda t: Bucket.read(t).row(X.bucket_of(t)), STATE), "tokens")
+
+    def each(state: DataFrame, send: Callable[[Bucket], tuple], total: int = 0, distinct: int = 0) -> DataFrame:
+        """Messages of each bucket, from its row alone."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for no, data in zip(t.column("bucket"), t.column("data"), strict=True):
+                    keys, *cols = send(Bucket(X.thaw(data.as_py()), total, distinct))
+                    yield from X.pack(no.as_py(), parts, keys, cols, wide=True).to_batches()
+
+        return state.mapInArrow(run, X.ANSWER)
+
+    def told(state: DataFrame, answers: DataFrame, run: Callable[[Bucket, pa.Table], pa.Table], schema: str, total: int, distinct: int) -> DataFrame:
+        """``run(bucket, answers)`` for each bucket."""
+
+        def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            return run(Bucket(X.thaw(left["data"][0].as_py()), total, distinct), right, key[0].as_py())
+
+        return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(one, schema)
+
+    words = cut(X.answered(each(state, lambda b: (b.keys, b.local())), ("u8", "u4"), _word_counts), "words")
+    n, v = _totals(words)
+
+    def start(b: Bucket, t: pa.Table, no: int) -> pa.Table:
+        b.counted(t)
+        return b.row(no)
+
+    state, old = cut(told(state, words, start, STATE, n, v), "tree"), (state, words)
+    release(*old)
+    for level in range(1, depth + 1):
+        if not state.agg(F.sum("live")).first()[0]:
+            break
+        grams = cut(X.answered(each(state, lambda b, k=level: b.asked(k)[:2], n, v), ("u8", "u4"), _counts), "grams")
+
+        def test(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
+            c = X.received(t, "i8")[b.asked(k)[2]]
+            names, of = b.contexts(k)
+            return X.pack(no, parts, names, b.gains(c, of, len(names)), wide=True)
+
+        def settle(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
+            if len(b.at):
+                b.settled(X.received(t, "i8", 0, parts)[b.asked(k)[2]], X.received(t, "u1", parts, 2 * parts)[b.contexts(k)[1]])
+            return b.row(no)
+
+        kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", *("f4" for _ in MASSES)), _states), "states")
+        both = grams.unionByName(kept.withColumn("part", F.col("part") + F.lit(parts)))
+        state, old = cut(told(state, both, settle, STATE, n, v), "tree"), (state, grams, kept)
+        release(*old)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for data in t.column("data"):
+                yield Bucket(X.thaw(data.as_py()), n, v).result()
+
+    return state.mapInArrow(finish, RESULT).withColumnRenamed("doc_id", id_col)

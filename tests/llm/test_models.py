@@ -32,36 +32,72 @@ def rows():
     return out + [out[9], out[9], (70, out[10][1], "c")]
 
 
-def test_suffix_tree(spark):
-    data = rows()
-    docs = [(i, WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})) + [None]) for i, t, _ in data]
+def _suffix_tree(data, depth):
+    """The tree as dictionaries, level by level, and each row's result."""
+    T = suffix_tree
+    docs = [(i, [*WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})), None]) for i, t, _ in data]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     train = [w for i, w in docs if not held(i)]
-    c1 = Counter(x for w in train for x in w)
-    c2, c3 = Counter(p for w in train for p in zip(w, w[1:], strict=False)), Counter(p for w in train for p in zip(w, w[1:], w[2:], strict=False))
-    n, v = sum(c1.values()), len(c1)
-    p0 = lambda x: (c1[x] + 1) / (n + v + 1)
-    g1, g2 = defaultdict(float), defaultdict(float)
-    m1, m2 = suffix_tree.MU
-    for (a, b), c in c2.items():
-        if c1[a] >= 2:
-            g1[a] += c * math.log((c - 1 + m1 * p0(b)) / (c1[a] - 1 + m1) / p0(b))
-    p1 = lambda a, b: (c2[a, b] + m1 * p0(b)) / (c1[a] + m1) if c1[a] >= 2 and g1[a] > suffix_tree.GAIN else p0(b)
-    for (a, b, x), c in c3.items():
-        if c2[a, b] >= 2:
-            g2[a, b] += c * math.log((c - 1 + m2 * p1(b, x)) / (c2[a, b] - 1 + m2) / p1(b, x))
-    want = []
+    count = [Counter(tuple(w[i : i + k]) for w in train for i in range(len(w) - k + 1)) for k in range(depth + 2)]
+    n, v = sum(count[1].values()), len(count[1])
+    base = lambda x: (count[1][x,] + 1) / (n + v + 1)
+    mass, tested, states = {}, {()}, {()}
+
+    def prob(context, x):
+        """In the state of the longest retained suffix."""
+        if not context:
+            return base(x)
+        if context not in states:
+            return prob(context[1:], x)
+        m = mass[context]
+        return (count[len(context) + 1][*context, x] + m * prob(context[1:], x)) / (count[len(context)][context] + m)
+
+    sizes = []
+    for k in range(1, depth + 1):
+        level = [c for c, z in count[k].items() if z >= T.LEAST and c[1:] in states and c[:-1] in tested and None not in c]
+        follow = defaultdict(list)
+        for g, z in count[k + 1].items():
+            follow[g[:-1]].append((g[-1], z))
+        for c in level:
+            z = count[k][c]
+            gain = [sum(y * (math.log((y - 1 + m * prob(c[1:], x)) / ((z - 1 + m) * prob(c[1:], x))) - T.RATIO) for x, y in follow[c]) for m in T.MASSES]
+            assert abs(max(gain) - T.GAIN) > 1e-4
+            if max(gain) > T.GAIN:
+                mass[c] = T.MASSES[gain.index(max(gain))]
+        tested |= set(level)
+        states |= {c for c in level if c in mass}
+        sizes.append(sum(c in mass for c in level))
+    out = []
     for i, w in docs:
-        s = 0.0
+        total = 0.0
         for k, x in enumerate(w):
-            p = p1(w[k - 1], x) if k else p0(x)
-            if k > 1 and c2[w[k - 2], w[k - 1]] >= 2 and g2[w[k - 2], w[k - 1]] > suffix_tree.GAIN:
-                p = (c3[w[k - 2], w[k - 1], x] + m2 * p) / (c2[w[k - 2], w[k - 1]] + m2)
-            s += math.log10(p)
-        want.append((i or -1, held(i), len(w), sum(c1[x] > 0 for x in w), n, round(sum(math.log10(p0(x)) for x in w), 5), round(s, 3)))
-    got = suffix_tree.scored(spark.createDataFrame(data, DOCS)).collect()
-    assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 3)) for r in got) == sorted(want)
+            c = ()
+            while len(c) < min(k, depth) and (longer := tuple(w[k - len(c) - 1 : k])) in states:
+                c = longer
+            total += math.log10(prob(c, x))
+        out.append((i or -1, held(i), len(w), sum(count[1][x,] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), total))
+    return out, sizes
+
+
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_suffix_tree(spark, depth):
+    rng = random.Random(3)
+    said = " ".join(f"w{rng.randrange(60)}" for _ in range(40))
+    data = rows() + [(100 + i, f"{said if i % 3 else said.replace('w1', 'w2')} w{i % 5} w{i % 7}", "a") for i in range(30)]
+    want, sizes = _suffix_tree(data, depth)
+    assert all(sizes[: min(depth, 3)])  # contexts of several lengths pass
+    got = suffix_tree.scored(spark.createDataFrame(data, DOCS), depth=depth).collect()
+    key = lambda r: (*r[:5], round(r[5], 4), round(r[6], 3))
+    for g, w in zip(sorted(((r.doc_id or -1, *r[1:]) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-4 * max(1, abs(w[6]))
+
+
+def test_suffix_tree_edges(spark):
     assert suffix_tree.scored(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(1, "a b a b", 5, "x")], "doc_id bigint, text string, bucket int, data string")
+    assert [r.n_tokens for r in suffix_tree.scored(odd).collect()] == [5]
+    with pytest.raises(TypeError):
+        suffix_tree.scored(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
 
 
 def test_suffix_tree_tells_grams_apart(spark):
