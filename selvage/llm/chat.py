@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from selvage.llm.common import whole_ids
 from selvage.llm.tokenizer import DEFAULT_VOCABULARY, encoding
 from selvage.session import partitions
 
@@ -44,7 +45,7 @@ def unescape(text: str) -> str:
 
 
 def encoded(turns: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Each turn with the ids of its escaped role and text; null role or text: empty."""
+    """Each turn with the ids of its escaped role and text; null role or text: empty; very long texts are encoded whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
@@ -54,7 +55,7 @@ def encoded(turns: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame
             yield pa.record_batch([t.column("conv_id"), t.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array([ids(r) for r in roles], pa.binary()), pa.array([ids(x) for x in texts], pa.binary())], names=["conv_id", "turn", "role", "text", "role_ids", "text_ids"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text")).mapInArrow(run, ENCODED)
+    return turns.select(whole_ids(turns, "conv_id").alias("conv_id"), whole_ids(turns, "turn").alias("turn"), text("role"), text("text")).mapInArrow(run, ENCODED)
 
 
 def splice(role_ids: bytes, text_ids: bytes, learn: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,8 @@
 """Operator 10: quality classifier, ordinal cumulative-link regression on graded ratings.
 
 ``P(grade <= g | x) = sigmoid(theta_g - w.x)`` with one weight vector over hashed text features and
-ordered thresholds.  The model is fitted on a bounded sample of labelled documents (``MOST_ROWS``
-rows, those of least hash); statistics of the scoring cover every document.
+ordered thresholds.  The model is fitted on a bounded sample of labelled documents (``MOST_ROWS`` rows
+and ``MOST_BYTES`` bytes of features, those of least hash); every document is scored.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selvage.llm.common import whole_ids
 from selvage.llm.kernel import Words, chunks, mix
+from selvage.session import cut
 
 U = np.uint64
 #: Bound of the sample that the driver fits on, in documents.
 MOST_ROWS = 20_000
+#: Bound of their features, in bytes; one document has ``4 << BITS`` at most.
+MOST_BYTES = 96 << 20
 #: Features are hashed to so many weights.
 BITS = 18
 #: Grades from worst to best.
@@ -122,23 +126,40 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int
     return Model(full, theta)
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
-    """Fit on labelled documents: ``most`` of them at most, those of least hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and grades of the sample, in the order of (hash of the id, id, grade, text hash).
 
-    Label rows without an id or a quality are left out; several ratings of a document all count.
+    First the label rows are bounded, then, since documents may repeat an id, the rows that they join
+    to, by number and by bytes, before any features come to the driver.
     """
-    rated = labels.select(F.col("doc_id").alias("__id"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("__id IS NOT NULL AND grade IS NOT NULL")
-    sample = rated.orderBy(F.xxhash64("__id"), "__id", "grade").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "grade", "text")
+    rated = labels.select(whole_ids(labels, "doc_id").alias("__id"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("__id IS NOT NULL AND grade IS NOT NULL")
+    chosen = rated.orderBy(F.xxhash64("__id"), "__id", "grade").limit(most)
+    rows = docs.select(whole_ids(docs, "doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "grade", F.xxhash64(F.coalesce("text", F.lit(b""))).alias("d"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x = [f.tobytes() for f in features(t.column("text").to_pylist())]
-            yield pa.record_batch([t.column("doc_id"), t.column("grade"), pa.array(x, pa.binary())], names=["doc_id", "grade", "x"])
+            yield pa.record_batch([*(t.column(c) for c in order), pa.array([len(f) for f in x], pa.int64()), pa.array(x, pa.binary())], names=[*order, "size", "x"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, grade int, x binary").toArrow().to_pydict()
-    order = sorted(range(len(got["x"])), key=lambda i: (got["doc_id"][i], got["grade"][i], got["x"][i]))
-    return fit([np.frombuffer(got["x"][i], np.int32) for i in order], np.array([got["grade"][i] for i in order], np.int64))
+    order = ["h", "doc_id", "grade", "d"]
+    found = cut(rows.mapInArrow(run, "h bigint, doc_id bigint, grade int, d bigint, size bigint, x binary"), "features")
+    first = found.select(*order, "size").orderBy(*order).limit(most).collect()
+    n = int(np.searchsorted(np.cumsum([r["size"] for r in first]), most_bytes, "right"))
+    if not n:
+        return [], np.zeros(0, np.int64)
+    upto = F.struct(*(F.col(c) for c in order)) <= F.struct(*(F.lit(first[n - 1][c]).cast(found.schema[c].dataType) for c in order))
+    got = found.where(upto).orderBy(*order, "x").limit(n).select("grade", "x").toArrow().to_pydict()
+    return [np.frombuffer(x, np.int32) for x in got["x"]], np.array(got["grade"], np.int64)
+
+
+def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on labelled documents: ``most`` rows and ``most_bytes`` bytes of features at most, those of least hash of the id.
+
+    Label rows without an id or a quality are left out; several ratings of a document, and several
+    rows of an id, all count up to the bound.  Ids are whole numbers.  Other columns are ignored.
+    """
+    return fit(*sampled(docs, labels, most, most_bytes))
 
 
 def rated(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -146,7 +167,9 @@ def rated(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     p_good is the tail probability of the best grade; rows below ``least`` are rejected.  A text
     without features scores as the model's thresholds alone say, but is kept: there is no evidence
-    against it.  Null text is such a text.  Repeated rows are rated alike; null ids stay null.
+    against it.  Null text is such a text.  Very long texts are read whole.  Repeated rows and texts of
+    equal features are rated alike; ids are whole numbers, null ids stay null.  Other columns, whatever
+    their names, are ignored; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # 2**BITS floats, whatever the data
@@ -160,7 +183,7 @@ def rated(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             kept = (above[:, -1] >= least) | ~some
             yield pa.record_batch([t.column("doc_id"), pa.array(above.sum(axis=1), pa.float64()), pa.array(above[:, -1], pa.float64()), pa.array(kept, pa.bool_())], names=["doc_id", "expected_grade", "p_good", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, expected_grade double, p_good double, kept boolean")
+    return docs.select(whole_ids(docs, "doc_id").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, expected_grade double, p_good double, kept boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:

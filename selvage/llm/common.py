@@ -32,6 +32,13 @@ def whole_ids(df: DataFrame, col: str) -> Column:
     return F.col(f"`{col}`").cast("long")
 
 
+def text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Columns, never null, that tell the rows of (id, text) apart: the id, whether there is none, and a hash of the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    id_ = whole_ids(docs, id_col)
+    return [F.coalesce(id_, F.lit(0)).alias("key_id"), id_.isNull().alias("key_none"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("key_text")]
+
+
 def unit(*cols: Column) -> Column:
     """A number in (0, 1) from 52 bits of an MD5, the same in every engine and run."""
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))

@@ -1,18 +1,24 @@
 """Operator 1: benchmark decontamination with a BM25 index of the test items and block-max WAND.
 
 The items are the indexed side: an inverted index of BM25 impacts, normalised by each item's own full
-score, so one threshold fits all items.  Every training passage is a query: documents are cut into
-overlapping passages that hold any item whole, and a passage retrieves all items whose score reaches
-the threshold.  Skipping keeps that exact:
+score, so one threshold fits all items.  Posting lists are sorted by item and cut into *blocks* of
+``BLOCK`` neighbouring items, each with the greatest impact of its term in it.  Every training passage
+is a query that retrieves all items whose score reaches the threshold.  Skipping keeps that exact:
 
 * *pivot*: an item's terms are ordered from high to low impact; the cheap tail whose impacts sum to
-  less than the threshold can't reach it alone, so postings of the tail are not opened until a term
-  ahead of the pivot has been met;
-* *block-max*: passages of one document form a block; the best that any of its passages could score
-  is bounded by the score of the whole document's terms, and blocks below the threshold are skipped.
+  less than the threshold can't reach it alone, so a block is not looked at until a term ahead of the
+  pivot of one of its items has been met;
+* *block-max*: the stored maxima of a passage's terms are added up block by block; where they stay below
+  the threshold the whole block is skipped, and its postings are never opened;
+* the same two bounds are first taken for a document as a whole, which bounds all of its passages.
+
+*Passages* are those of the item: an item of n words is looked for in passages of twice ``step``
+words, one step apart, where step is the least power of two of at least n words and ``LEAST_STEP``.
+They hold any run of n words whole, and do not depend on other items or on how items are sharded.
 
 What is retrieved is verified on words: the passage must hold most 3-word shingles of the question
-and of the answer.  Items are broadcast in shards of bounded size; each shard sees all documents.
+and of the answer.  Items are indexed in shards of bounded size; a pass over the documents serves
+``GROUP`` shards, which are broadcast.
 """
 
 from __future__ import annotations
@@ -26,26 +32,37 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from selvage.llm.common import whole_ids
 from selvage.llm.kernel import Words, chunks
 
 U = np.uint64
-#: Items and characters of a shard at most: the bound of what is broadcast at a time.
-SHARD_ITEMS, SHARD_CHARS = 2048, 4 << 20
+#: Items and characters of a shard at most, and shards of a pass: the bound of what is broadcast at a time.
+SHARD_ITEMS, SHARD_CHARS, GROUP = 2048, 4 << 20, 8
+#: Items of a block at most.
+BLOCK = 16
+LEAST_STEP = 16
 K1, B = 1.2, 0.75
 #: Words of a verification shingle.
 SHINGLE = 3
+#: Sums of floats may fall short by so much.
+_SLACK = 1e-9
+#: A posting list of each term: limits by term, place (block or item), value.
+Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass
 class Index:
-    """Inverted index of a shard: postings (limits by term, item, impact) of all terms, and of those ahead of their item's pivot."""
+    """Inverted index of a shard; items stand in the order of their steps, and no block mixes steps."""
 
     ids: list[int | None]
     vocabulary: np.ndarray
-    every: tuple[np.ndarray, np.ndarray, np.ndarray]
-    ahead: tuple[np.ndarray, np.ndarray, np.ndarray]
-    tail: np.ndarray
-    longest: int
+    #: Impacts by item, greatest impacts by block, and blocks in which the term is ahead of a pivot.
+    impacts: Lists
+    maxima: Lists
+    ahead: Lists
+    #: Of each item its block, of each block its step.
+    block: np.ndarray
+    step: np.ndarray
     shingles: list[tuple[np.ndarray, np.ndarray]]
 
 
@@ -54,6 +71,11 @@ def split(words: int, share: float = 2 / 3) -> int:
     return min(max(1, round(words * share)), words - 1) if words > 1 else words
 
 
+def step_of(words: int) -> int:
+    """Step of the passages in which an item of so many words is looked for."""
+    return max(LEAST_STEP, 1 << max(words - 1, 0).bit_length())
+
+
 def _shingles(h: np.ndarray) -> np.ndarray:
     n = min(SHINGLE, len(h))
     return np.unique(gram(h, n)) if n else np.zeros(0, U)
@@ -69,129 +91,145 @@ def gram(h: np.ndarray, n: int) -> np.ndarray:
         return out
 
 
+def _lists(terms: int, term: np.ndarray, place: np.ndarray, value: np.ndarray) -> Lists:
+    """Posting lists by term, each in the order of places; of equal places the greatest value."""
+    order = np.lexsort((-value, place, term))
+    term, place, value = term[order], place[order], value[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (place[1:] != place[:-1])
+    term, place, value = term[new], place[new], value[new]
+    return np.concatenate(([0], np.cumsum(np.bincount(term, minlength=terms)))), place, value
+
+
 def build(ids: list[int | None], texts: list[str | None], idf: dict[int, float], mean: float, threshold: float) -> Index:
     """Index of some items; idf and mean length are those of the whole benchmark."""
     w = Words(texts, fold=True)
     per = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: step_of(len(per[i])))
+    ids, per = [ids[i] for i in order], [per[i] for i in order]
+    steps = np.array([step_of(len(h)) for h in per], np.int64)
     vocabulary = np.unique(w.hash)
-    item, term, impact, ahead, tail = [], [], [], [], np.zeros(len(ids))
+    block, blocks, filled = np.zeros(len(ids), np.int64), [], 0
+    for i, s in enumerate(steps.tolist()):
+        if not blocks or blocks[-1] != s or filled == BLOCK:
+            blocks.append(s)
+            filled = 0
+        filled += 1
+        block[i] = len(blocks) - 1
+    item, term, impact, ahead = ([np.zeros(0, k)] for k in (np.int64, np.int64, float, bool))
     for i, h in enumerate(per):
         if not len(h):
             continue
         t, tf = np.unique(h, return_counts=True)
         weight = np.array([idf[int(x)] for x in t]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
         weight /= weight.sum()
-        order = np.lexsort((t, weight))  # cheap first
-        below = np.cumsum(weight[order]) < threshold - 1e-9
         cheap = np.zeros(len(t), bool)
-        cheap[order[below]] = True
-        tail[i] = weight[cheap].sum()
-        item.append(np.full(len(t), i))
-        term.append(np.searchsorted(vocabulary, t))
-        impact.append(weight)
-        ahead.append(~cheap)
-    cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
-    item_, term_, impact_, ahead_ = cat(item, np.int64), cat(term, np.int64), cat(impact, float), cat(ahead, bool)
-
-    def postings(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.flatnonzero(keep)[np.argsort(term_[keep], kind="stable")]
-        return np.concatenate(([0], np.cumsum(np.bincount(term_[at], minlength=len(vocabulary))))), item_[at], impact_[at]
-
-    cuts = [split(len(h)) for h in per]
-    return Index(list(ids), vocabulary, postings(ahead_ | True), postings(ahead_), tail, max((len(h) for h in per), default=0), [(_shingles(h[:c]), _shingles(h[c:])) for h, c in zip(per, cuts, strict=True)])
-
-
-def _postings(lists: tuple[np.ndarray, np.ndarray, np.ndarray], row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, impact) of the postings of (row, term) pairs."""
-    ptr, item, impact = lists
+        low = np.lexsort((t, weight))
+        cheap[low[np.cumsum(weight[low]) < threshold - _SLACK]] = True
+        for to, x in ((item, np.full(len(t), i)), (term, np.searchsorted(vocabulary, t)), (impact, weight), (ahead, ~cheap)):
+            to.append(x)
+    i_, t_, v_, a_ = (np.concatenate(x) for x in (item, term, impact, ahead))
+    cuts, n = [split(len(h)) for h in per], len(vocabulary)
+    shingles = [(_shingles(h[:c]), _shingles(h[c:])) for h, c in zip(per, cuts, strict=True)]
+    return Index(ids, vocabulary, _lists(n, t_, i_, v_), _lists(n, t_, block[i_], v_), _lists(n, t_[a_], block[i_[a_]], v_[a_]), block, np.array(blocks, np.int64), shingles)
+
+
+def _postings(lists: Lists, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the postings of (row, term) pairs."""
+    ptr, place, value = lists
     n = ptr[term + 1] - ptr[term]
     row, term, n = row[n > 0], term[n > 0], n[n > 0]
     at = np.repeat(ptr[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.repeat(row, n), item[at], impact[at]
+    return np.repeat(row, n), place[at], value[at]
 
 
-def _pairs(row: np.ndarray, term: np.ndarray, rows: int, terms: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, term) pairs."""
-    seen = np.zeros(rows * terms, bool)
-    seen[row * terms + term] = True
-    return np.divmod(np.flatnonzero(seen), terms)
-
-
-def search(ix: Index, texts: list[str | bytes | None], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, int]]:
-    """(text, item, score, question overlap, answer overlap, first word of the passage): the best verified passage of each text and item."""
-    found: list[tuple[int, int, float, float, float, int]] = []
-    if not ix.longest:
-        return found
-    w = Words(texts, fold=True)
+    return np.divmod(np.unique(row * terms + term), max(terms, 1))
+
+
+def _open(ix: Index, row: np.ndarray, term: np.ndarray, threshold: float, step: np.ndarray | None = None) -> np.ndarray:
+    """Codes ``row * blocks + block``, sorted, of the blocks that a row may not skip (``step``: of each row, if it asks one step only)."""
+    blocks = len(ix.step)
+    r, b, _ = _postings(ix.ahead, row, term)
+    met = np.unique((r * blocks + b) if step is None else (r * blocks + b)[ix.step[b] == step[r]])
+    some = np.isin(row, met // max(blocks, 1))
+    r, b, v = _postings(ix.maxima, row[some], term[some])
+    code = r * blocks + b
+    at = np.searchsorted(met, code)
+    at[at == len(met)] = 0
+    fits = (met[at] == code) if len(met) else np.zeros(len(code), bool)
+    return met[np.bincount(at[fits], weights=v[fits], minlength=len(met)) >= threshold - _SLACK]
+
+
+def search(ix: Index, w: Words, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float, int]]:
+    """(text, item, score, question overlap, answer overlap, first word of the passage): of each text and item
+    the verified passage of the greatest score, then overlaps, then the first."""
+    terms, blocks, items = len(ix.vocabulary), len(ix.step), len(ix.ids)
+    if not terms:
+        return []
     at = np.searchsorted(ix.vocabulary, w.hash)
-    at[at == len(ix.vocabulary)] = 0
-    known = ix.vocabulary[at] == w.hash
-    where = np.flatnonzero(known)
+    at[at == terms] = 0
+    where = np.flatnonzero(ix.vocabulary[at] == w.hash)
     owner, term = w.owner()[where], at[where]
-    items, terms = len(ix.ids), len(ix.vocabulary)
-    row, t = _pairs(owner, term, len(texts), terms)
-    # block-max over a document's passages, with the pivot: its terms ahead plus all of the tail bound every passage
-    able = _reach(ix, row, t, len(texts), threshold)
-    open_ = able.any(axis=1)[owner]
-    owner, term, where = owner[open_], term[open_], where[open_]
-    if not len(owner):
-        return found
-    # passages of two steps, one step apart, hold any run of one step; a word lies in two of them
-    step = ix.longest
-    slots = np.maximum(1, -(-w.count() // step) - 1)
-    base = np.concatenate(([0], np.cumsum(slots)))
-    at_step = (where - w.first[owner]) // step
-    lower, upper = np.maximum(at_step - 1, 0), np.minimum(at_step, slots[owner] - 1)
-    slot, both = np.concatenate((base[owner] + lower, base[owner] + upper)), np.concatenate((term, term))
-    names, slot = np.unique(slot, return_inverse=True)
-    row, t = _pairs(slot, both, len(names), terms)
-    # the same pivot for each passage
-    able = _reach(ix, row, t, len(names), threshold)
-    keep = able.any(axis=1)[row]
-    r, i, s = _postings(ix.every, row[keep], t[keep])
-    score = np.bincount(r * items + i, weights=s, minlength=able.size).reshape(able.shape)
+    # a document as a whole bounds its passages
+    doc, block = np.divmod(_open(ix, *_distinct(owner, term, terms), threshold), blocks)
+    asked = np.unique(np.stack((doc, ix.step[block]), axis=1), axis=0)
     best: dict[tuple[int, int], tuple] = {}
-    have: dict[int, np.ndarray] = {}
-    for p, it in np.argwhere(able & (score >= threshold - 1e-9)).tolist():
-        d = int(np.searchsorted(base, names[p], "right")) - 1
-        lo = int(w.first[d]) + int(names[p] - base[d]) * step
-        hi = int(w.first[d + 1]) if names[p] == base[d + 1] - 1 else lo + 2 * step
-        if p not in have:
-            have[p] = np.concatenate([gram(w.hash[lo:hi], m) for m in range(1, SHINGLE + 1)])
-        got = [float(np.isin(part, have[p]).mean()) if len(part) else 1.0 for part in ix.shingles[it]]
-        if min(got) >= overlap:
-            best[d, it] = max(best.get((d, it), (-1.0,)), (float(score[p, it]), *got, lo - int(w.first[d])))
-    return [(d, it, *x) for (d, it), x in sorted(best.items())]
-
-
-def _reach(ix: Index, row: np.ndarray, term: np.ndarray, rows: int, threshold: float) -> np.ndarray:
-    """Which items each row may still reach from the terms ahead of their pivots."""
-    items = len(ix.ids)
-    r, i, s = _postings(ix.ahead, row, term)
-    sums = np.bincount(r * items + i, weights=s, minlength=rows * items).reshape(rows, items)
-    return (sums > 0) & (sums + ix.tail[None, :] >= threshold - 1e-9)
+    for step in np.unique(asked[:, 1]).tolist():
+        mine = np.zeros(len(w.first) - 1, bool)
+        mine[asked[asked[:, 1] == step, 0]] = True
+        pick = mine[owner]
+        o, t, i = owner[pick], term[pick], (where[pick] - w.first[owner[pick]]) // step
+        # passages of two steps, one step apart: a word lies in two of them
+        slots = np.maximum(1, -(-w.count() // step) - 1)
+        base = np.concatenate(([0], np.cumsum(slots)))
+        slot = np.concatenate((base[o] + np.maximum(i - 1, 0), base[o] + np.minimum(i, slots[o] - 1)))
+        names, slot = np.unique(slot, return_inverse=True)
+        row, t = _distinct(slot, np.concatenate((t, t)), terms)
+        opened = _open(ix, row, t, threshold, np.full(len(names), step))
+        some = np.isin(row, opened // blocks)
+        r, it, v = _postings(ix.impacts, row[some], t[some])
+        fits = np.isin(r * blocks + ix.block[it], opened)
+        code, number = np.unique(r[fits] * items + it[fits], return_inverse=True)
+        score = np.bincount(number, weights=v[fits], minlength=len(code))
+        have: dict[int, np.ndarray] = {}
+        for c, s in zip(code[score >= threshold - _SLACK].tolist(), score[score >= threshold - _SLACK].tolist(), strict=True):
+            p, k = divmod(c, items)
+            d = int(np.searchsorted(base, names[p], "right")) - 1
+            lo = int(w.first[d]) + int(names[p] - base[d]) * step
+            hi = int(w.first[d + 1]) if names[p] == base[d + 1] - 1 else lo + 2 * step
+            if p not in have:
+                have = {p: np.concatenate([gram(w.hash[lo:hi], m) for m in range(1, SHINGLE + 1)])}
+            got = [float(np.isin(part, have[p]).mean()) if len(part) else 1.0 for part in ix.shingles[k]]
+            if min(got) >= overlap:
+                best[d, k] = max(best.get((d, k), (-1.0,)), (s, *got, -(lo - int(w.first[d]))))
+    return [(d, k, s, q, a, -lo) for (d, k), (s, q, a, lo) in sorted(best.items())]
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, start) for each document and item of (item_id, text) that it leaks.
 
     Words are compared without case and ASCII punctuation.  Null or wordless items and documents
-    match nothing; a one-word item is all question.  Repeated rows, of documents or items, give
-    repeated results.  Other columns are ignored.  An empty benchmark gives no rows.
+    match nothing; a one-word item is all question.  Very long texts are searched whole.  Of passages
+    with equal scores the one of greater overlaps, then the first, is told.  Ids are whole numbers or
+    null.  Repeated rows, of documents or items, give repeated results.  Other columns, whatever their
+    names, are ignored.  An empty benchmark gives no rows.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(whole_ids(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, start bigint"
-    out = spark.createDataFrame([], schema)
-    for ix in _indexes(items, threshold):
+    out = docs.sparkSession.createDataFrame([], schema)
+    for group in _groups(items, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 ids, docs_ = t.column("doc_id"), t.column("text").to_pylist()
-                for a, b in chunks(docs_, 1 << 19):
-                    got = search(ix.value, docs_[a:b], threshold, overlap)
-                    cols = [list(c) for c in zip(*got, strict=True)] or [[]] * 6
-                    yield pa.record_batch([ids.take(pa.array([a + d for d in cols[0]], pa.int64())), pa.array([ix.value.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"])
+                for a, b in chunks(docs_):
+                    w = Words(docs_[a:b], fold=True)
+                    for ix in group:
+                        got = search(ix.value, w, threshold, overlap)
+                        cols = [list(c) for c in zip(*got, strict=True)] or [[]] * 6
+                        yield pa.record_batch([ids.take(pa.array([a + d for d in cols[0]], pa.int64())), pa.array([ix.value.ids[i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"])
 
         out = out.unionByName(texts.mapInArrow(run, schema))
     return out
@@ -200,23 +238,37 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that leak no item (see :func:`leaks`); no shuffle."""
     at = docs.columns.index(text_col)
-    for ix in _indexes(items, threshold):
+    for group in _groups(items, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 texts = t.column(at).to_pylist()
                 keep = np.ones(len(texts), bool)
-                for a, b in chunks(texts, 1 << 19):
-                    keep[[a + r[0] for r in search(ix.value, texts[a:b], threshold, overlap)]] = False
+                for a, b in chunks(texts):
+                    w = Words(texts[a:b], fold=True)
+                    for ix in group:
+                        keep[[a + r[0] for r in search(ix.value, w, threshold, overlap)]] = False
                 yield t.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
+def _groups(items: DataFrame, threshold: float) -> Iterator[list[Broadcast]]:
+    """Broadcast indexes, so many as one pass over the documents serves."""
+    now: list[Broadcast] = []
+    for ix in _indexes(items, threshold):
+        now.append(ix)
+        if len(now) == GROUP:
+            yield now
+            now = []
+    if now:
+        yield now
+
+
 def _indexes(items: DataFrame, threshold: float) -> Iterator[Broadcast]:
     """A broadcast index of each shard, with document frequencies of the whole benchmark."""
-    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
+    clean = items.select(whole_ids(items, "item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text")
     df: dict[int, int] = {}
     n = total = 0
     for shard in _shards(clean):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvage.session import cut
+from selvage.session import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,12 +14,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Randomised contraction: in each round a node joins the neighbour (or itself) of least hash and
     the edges are rewritten between those choices.  Hashes change by round, so long chains shrink by
     a constant share and the number of rounds follows the logarithm of the diameter; stars collapse
-    in one round, and a hub's edges are only ever aggregated with map-side combining.  Null ends and
+    in one round.  A hub's edges are aggregated with map-side combining, and rewritten by a join that
+    adaptive execution splits where one node has many edges.  Null ends and
     self-loops are ignored; repeated edges count once; no edges give no rows.
     """
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     hops: list[DataFrame] = []
     while not e.isEmpty():
+        before = e
         r = F.lit(len(hops))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", r).alias("h"), F.col("b").alias("v"))).alias("m"))
@@ -29,6 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = e.join(hop, e.a == hop.x).select(F.col("y").alias("a"), "b")
         e = e.join(hop, e.b == hop.x).select("a", F.col("y").alias("b")).where("a <> b")
         e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        release(before)
     if not hops:
         return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     out = hops[0].select(F.col("x").alias("node"), F.col("y").alias("comp"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selvage.llm.common import running_before, unit, word_count
+from selvage.llm.common import running_before, text_key, unit, whole_ids, word_count
 from selvage.session import cut
 
 #: Rows of a source that share a task of the prefix sum, at least.
@@ -40,27 +40,43 @@ def targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     return per.withColumn("target", F.least("cap", F.coalesce(first, F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "rows", "target")
 
 
+#: What :func:`mixed` adds; columns of these names in its input are replaced.
+ADDED = ("source_size", "target", "repeats", "taken")
+
+
 def mixed(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """Adds source_size, target, repeats and taken to rows of (doc_id, source, size, quality, ...).
 
-    ``quality`` weighs the draw (null: 1; not positive: last).  A document is taken ``repeats`` times,
-    at most ``most``: the complete epochs of its source, and once more if most of it lies before the
-    rest of the budget in key order.  So a source misses its target by half a document at most.
-    Ties in the key fall to doc_id, then size; equal rows are interchangeable.  Null ids draw too.
+    ``quality`` weighs the draw (null: 1; not positive: after all others).  A document is taken
+    ``repeats`` times, at most ``most``: the complete epochs of its source, and once more if most of it
+    lies before the rest of the budget in key order.  So a source misses its target by half a document
+    at most.  Ties in the key fall to doc_id, then size; equal rows are interchangeable.  Null ids draw
+    by their whole row.  Null sources are a source of their own.  Further columns, whatever their names,
+    are kept, but for those of ``ADDED``, which are replaced.  An empty table gives no rows.
     """
+    keep = [c for c in sized.columns if c not in ADDED]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep))
     weight = F.coalesce(F.col("quality").cast("double"), F.lit(1.0))
-    key = F.when(weight > 0, -F.log(unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))) / weight).otherwise(F.lit(float("inf")))
-    rows = cut(sized.withColumn("__key", key), "mix")
+    draw = unit(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(row).cast("string")), F.lit(seed))
+    rows = sized.select(
+        row.alias("row"), F.col("doc_id").alias("id"), "source", "size", (weight <= 0).alias("last"),
+        F.when(weight > 0, -F.log(draw) / weight).otherwise(-F.log(draw)).alias("key"), F.when(weight > 0, weight).alias("weight"),
+    )
+    rows = cut(rows, "mix")
     per = targets(rows, weights, most)
+    typical = rows.groupBy("source").agg(F.coalesce(F.avg("weight"), F.lit(1.0)).alias("typical"))
+    per = per.join(typical.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per = per.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
-    per = per.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "__source")
-    rows = rows.join(per, rows.source.eqNullSafe(per.__getattr__("__source"))).drop("__source")
-    buckets = F.ceil(F.col("rows") / F.greatest(F.lit(float(SPAN)), F.sqrt("rows")))
-    rows = rows.withColumn("__bucket", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * buckets).cast("long")).drop("rows")
-    rows = running_before(rows, ["source"], "__bucket", ["__key", "doc_id", "size"], "size", "__start")
-    again = (F.col("size") > 0) & (2 * F.col("__start") + F.col("size") <= 2 * F.col("rest"))
-    rows = rows.withColumn("repeats", F.col("epochs") + again.cast("long")).withColumn("taken", F.col("repeats") * F.col("size"))
-    return rows.drop("__bucket", "__start", "__key", "epochs", "rest")
+    per = per.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "its_source")
+    rows = rows.drop("weight").join(per, rows.source.eqNullSafe(F.col("its_source"))).drop("its_source")
+    # slices that rise with the key, of about equal numbers of rows; those of no weight follow
+    slices = F.ceil(F.col("rows") / F.greatest(F.lit(float(SPAN)), F.sqrt("rows")))
+    slice_ = F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.when(F.col("last"), 1.0).otherwise(F.col("typical")))) * slices)
+    rows = rows.withColumn("slice", (slice_ + F.when(F.col("last"), slices + 1).otherwise(0)).cast("long")).drop("rows", "typical")
+    rows = running_before(rows, ["source"], "slice", ["last", "key", "id", "size"], "size", "start")
+    again = (F.col("size") > 0) & (2 * F.col("start") + F.col("size") <= 2 * F.col("rest"))
+    repeats = F.col("epochs") + again.cast("long")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in keep), "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -73,3 +89,19 @@ def sized_documents(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ()
     """(doc_id, source, size, quality, *keep): size is the number of words, null text has none."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
     return rows.join(label_quality(labels), "doc_id", "left").select("doc_id", "source", "size", F.coalesce("quality", F.lit(1.0)).alias("quality"), *keep)
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The documents of the mix: the rows and columns of ``docs`` (doc_id, text, source, ...) that are taken,
+    with size, source_size, target, repeats and taken (:func:`mixed`), which replace columns of these names.
+
+    Sums run over sizes only; the text is attached to what is taken by one join.
+    """
+    added = ("size", *ADDED)
+    keep = [c for c in docs.columns if c not in added]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    narrow = docs.select(whole_ids(docs, "doc_id").alias("doc_id"), "source", "text", *text_key(docs))
+    names = narrow.columns[3:]
+    taken = mixed(sized_documents(narrow, labels, names), weights, most).where("repeats > 0").select(*names, *added)
+    one = docs.select(*text_key(docs), row).groupBy(*names).agg(F.first("row").alias("row"))  # repeated rows are alike
+    return taken.join(one, names).select(*(F.col("row").getField(c).alias(c) for c in keep), *added)

@@ -28,12 +28,16 @@ STOP_WORDS = (
     "der die das und ist ein zu den mit von "
     "el los las y se del por con"
 ).split()
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and, as long, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop, n_upper.
 
     n_repeat_words counts words in 3-word windows found twice or more in the text, first included.
-    Window keys hold a part of a 64-bit hash above the window's position; sorted, repeats are
-    neighbours, which are compared word by word.  Null text has no words, lines or symbols.
+    Window keys hold a part of a 64-bit hash above the window's position; sorted, equal windows stand
+    in one run of equal parts, within which they are compared word by word: almost always with the
+    neighbour, else with all of the run.  Null text has no words, lines or symbols; very long texts are
+    read whole.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
@@ -46,13 +50,21 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("k", F.when(n >= 4, F.sort_array(key)).otherwise(F.array().cast("array<bigint>")))
     at = lambda k: k.bitwiseAND(up(F.lit(1).cast("long")) - 1).cast("int")
 
-    def twin(k: Column, other: Column) -> Column:
-        same = down(k) == down(other)
-        for d in range(3):
+    part = lambda k, other: F.coalesce(down(k) == down(other), F.lit(False))
+
+    def equal(k: Column, other: Column) -> Column:
+        same = F.get("w", at(k)) == F.get("w", at(other))
+        for d in (1, 2):
             same = same & (F.get("w", at(k) + d) == F.get("w", at(other) + d))
         return F.coalesce(same, F.lit(False))
 
-    again = F.filter("k", lambda k, i: twin(k, F.get("k", i + 1)) | twin(k, F.get("k", i - 1)))
+    def twin(k: Column, i: Column, side: int) -> Column:
+        """Whether the run holds an equal window on that side; beyond a second foreigner all keys are asked."""
+        one, two = F.get("k", i + side), F.get("k", i + 2 * side)
+        all_ = F.exists(F.filter("k", lambda x: (x != k) & (down(x) == down(k))), lambda x: equal(k, x))
+        return part(k, one) & (equal(k, one) | (part(k, two) & (equal(k, two) | all_)))
+
+    again = F.filter("k", lambda k, i: twin(k, i, 1) | twin(k, i, -1))
     rows = rows.withColumn("r", F.sort_array(F.transform(again, at))).withColumn("l", F.filter(F.split("t", "\n"), lambda s: F.rlike(s, F.lit(WORD))))
     step = lambda i: F.least(F.coalesce(F.get("r", i) - F.get("r", i - 1), F.lit(3)), F.lit(3))
     covered = F.aggregate(F.sequence(F.lit(1), F.size("r")), F.lit(0), lambda acc, i: acc + step(i))

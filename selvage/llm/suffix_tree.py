@@ -40,7 +40,7 @@ DEPTH = 8
 #: Nats that a context must gain over its suffix in all, and each occurrence beforehand.
 GAIN, RATIO = 2.0, 0.05
 #: Smoothing masses to choose from.
-MASSES = (1.0, 8.0, 64.0, 512.0)
+MASSES = (1.0, 16.0, 256.0)
 #: Training occurrences of a context at least: below two nothing can be left out.
 LEAST = 2
 END = U(0x8F1BBCDCBFA53E0B)
@@ -60,12 +60,14 @@ class Bucket:
     Arrays kept between jobs: ``id``, ``null`` and ``size`` (tokens) of each document, the distinct
     token hashes ``keys`` and for each token its number ``token``; then ``count`` (of each key, in
     training) and each document's ``score`` so far; from the second level on the positions ``at`` of
-    unsettled tokens, the training count ``n`` of the context and the suffix state's probability ``p``.
+    unsettled tokens, the training count ``n`` of the context and the suffix state's probability ``p``
+    (on the second level as the integers that it follows from: count ``c`` of the pair, and ``mass``).
+    Keys stand in the order of local frequency, so that the numbers of frequent words are small.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, distinct: int = 0) -> None:
         self.kept = arrays
-        self.size, self.keys, self.token = arrays["size"], arrays["keys"], arrays["token"]
+        self.size, self.keys, self.token = arrays["size"], np.cumsum(arrays["keys"], dtype=U), arrays["token"]
         self.ids = [None if x else int(i) for i, x in zip(arrays["id"], arrays["null"], strict=True)]
         self.owner = np.repeat(np.arange(len(self.size)), self.size)
         self.held = np.array([held_out(i) for i in self.ids], bool)
@@ -73,7 +75,12 @@ class Bucket:
         self.total, self.distinct = total, distinct
         self.at = np.zeros(0, np.int64)
         if "at" in arrays:
-            self.at, self.n, self.p = np.cumsum(arrays["at"], dtype=np.int64), arrays["n"], arrays["p"].astype(np.float64)
+            self.at, self.n = np.cumsum(arrays["at"], dtype=np.int64), arrays["n"]
+            if "p" in arrays:
+                self.p = arrays["p"].astype(np.float64)
+            else:
+                m = np.array(MASSES)[arrays["mass"]]
+                self.p = (arrays["c"] + m * self.base()[self.at]) / (arrays["count"][self.token[self.at - 1]] + m)
         elif "count" in arrays:
             count, base = arrays["count"][self.token], self.base()
             inside = np.concatenate(([False], self.owner[1:] == self.owner[:-1])) if len(self.owner) else np.zeros(0, bool)
@@ -91,8 +98,11 @@ class Bucket:
         is_word = np.ones(len(tokens), bool)
         is_word[np.cumsum(size) - 1] = False
         tokens[is_word] = w.hash
-        keys, token = np.unique(tokens, return_inverse=True)
-        return cls({"id": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids], np.uint8), "size": size.astype(np.int64), "keys": keys, "token": token.astype(np.uint32)})
+        keys, token, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.lexsort((keys, -often))
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.arange(len(keys), dtype=np.uint32)
+        return cls({"id": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids], np.uint8), "size": size.astype(np.int64), "keys": np.diff(keys[order], prepend=U(0)), "token": place[token]})
 
     def row(self, bucket: int) -> pa.Table:
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "live": pa.array([len(self.at)], pa.int64()), "data": pa.array([X.freeze(self.kept)], pa.binary())})
@@ -109,12 +119,16 @@ class Bucket:
                 out = mix(out) + self.keys[self.token[at - k]] * U(0xA0761D6478BD642F + 2 * k)
             return mix(out ^ U(n))
 
-    def local(self) -> np.ndarray:
-        return np.bincount(self.token, weights=self.train, minlength=len(self.keys)).astype(np.uint32)
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words in the order of their hashes, and their local counts."""
+        order = np.argsort(self.keys)
+        return self.keys[order], np.bincount(self.token, weights=self.train, minlength=len(self.keys)).astype(np.uint32)[order]
 
     def counted(self, t: pa.Table) -> None:
         """Take the words' counts; tokens without a context to test are settled at the base."""
-        self.kept = {**self.kept, "count": X.received(t, "i8") & (_FIRST - 1)}
+        count = np.empty(len(self.keys), np.int64)
+        count[np.argsort(self.keys)] = X.received(t, "i8") & (_FIRST - 1)
+        self.kept = {**self.kept, "count": count}
         self.__init__(self.kept, self.total, self.distinct)
         done = np.ones(len(self.token), bool)
         done[self.at] = False
@@ -129,10 +143,24 @@ class Bucket:
         return np.unique(self.grams(self.at - 1, level), return_inverse=True)
 
     def gains(self, c: np.ndarray, of: np.ndarray, contexts: int) -> list[np.ndarray]:
-        """What the training tokens add to the test of each context, for each smoothing mass."""
+        """What the training tokens add to the test of each context: its count, how many of its followers
+        here occur twice or more behind it, and their gain for each smoothing mass.  What a follower that
+        occurs once loses is known from the count, so contexts without repeated followers send no numbers."""
+        ask = self.open(c, of, contexts)
+        again = self.train[self.at] & (c >= 2)
+        count = np.zeros(contexts, np.int64)
+        count[of] = self.n
+        c, n, p, of = c[again], self.n[again], self.p[again], of[again]
+        gain = [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts).astype(np.float32) for m in MASSES]
+        return [x[ask] for x in (count, np.bincount(of, minlength=contexts).astype(np.uint32), *gain)]
+
+    def open(self, c: np.ndarray, of: np.ndarray, contexts: int) -> np.ndarray:
+        """Contexts that may have a follower that occurs twice; without one a context only loses, and need not be asked for."""
+        left = np.zeros(contexts, np.int64)
+        left[of] = self.n
         learn = self.train[self.at]
-        c, n, p, of = c[learn], self.n[learn], self.p[learn], of[learn]
-        return [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts).astype(np.float32) for m in MASSES]
+        left -= np.bincount(of[learn & (c == 1)], minlength=contexts)
+        return left >= 2
 
     def settled(self, c: np.ndarray, mass: np.ndarray) -> None:
         """Score in the states of this level (``mass``: number of the state's mass, 0 for no state) and keep what goes deeper."""
@@ -145,8 +173,12 @@ class Bucket:
         done = self.at[~deep]
         self.kept["score"] = self.kept["score"] + np.bincount(self.owner[done], weights=np.log10(p[~deep]), minlength=len(self.size))
         at = self.at[deep]
-        self.kept |= {"at": np.diff(at, prepend=0).astype(np.uint32), "n": longer[deep].astype(np.int64), "p": p[deep].astype(np.float32)}
-        self.at, self.n, self.p = at, self.kept["n"], self.kept["p"].astype(np.float64)
+        first = "at" not in self.kept
+        self.kept |= {"at": np.diff(at, prepend=0).astype(np.uint32), "n": longer[deep].astype(np.int64)}
+        self.kept |= {"c": c[deep], "mass": (mass[deep] - 1).astype(np.uint8)} if first else {"p": p[deep].astype(np.float32)}
+        for name in () if first else ("c", "mass"):
+            self.kept.pop(name, None)
+        self.at, self.n, self.p = at, self.kept["n"], p[deep]
 
     def result(self) -> pa.RecordBatch:
         """What is not settled at the greatest depth scores in the state that it has."""
@@ -173,10 +205,13 @@ def _counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(group, weights=n, minlength=len(size)).astype(np.int64)[group]
 
 
-def _states(keys: np.ndarray, *gains: np.ndarray) -> np.ndarray:
+def _states(keys: np.ndarray, n: np.ndarray, again: np.ndarray, *gains: np.ndarray) -> np.ndarray:
     """Number of the best mass of each context that passes, else 0; entries come in the order of buckets, so reruns agree."""
     group, size = X.groups(keys)
-    total = np.stack([np.bincount(group, weights=g.astype(np.float64), minlength=len(size)) for g in gains])
+    count = np.zeros(len(size))
+    count[group] = n
+    once = count - np.bincount(group, weights=again, minlength=len(size))
+    total = np.stack([np.bincount(group, weights=g.astype(np.float64), minlength=len(size)) + once * (np.log(m / (count - 1 + m)) - RATIO) for g, m in zip(gains, MASSES, strict=True)])
     return np.where(total.max(axis=0) > GAIN, total.argmax(axis=0) + 1, 0).astype(np.uint8)[group]
 
 
@@ -227,7 +262,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
 
         return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(one, schema)
 
-    words = cut(X.answered(each(state, lambda b: (b.keys, b.local())), ("u8", "u4"), _word_counts), "words")
+    words = cut(X.answered(each(state, Bucket.words), ("u8", "u4"), _word_counts), "words")
     n, v = _totals(words)
 
     def start(b: Bucket, t: pa.Table, no: int) -> pa.Table:
@@ -244,14 +279,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
         def test(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
             c = X.received(t, "i8")[b.asked(k)[2]]
             names, of = b.contexts(k)
-            return X.pack(no, parts, names, b.gains(c, of, len(names)), wide=True)
+            return X.pack(no, parts, names[b.open(c, of, len(names))], b.gains(c, of, len(names)), wide=True)
 
         def settle(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
             if len(b.at):
-                b.settled(X.received(t, "i8", 0, parts)[b.asked(k)[2]], X.received(t, "u1", parts, 2 * parts)[b.contexts(k)[1]])
+                c = X.received(t, "i8", 0, parts)[b.asked(k)[2]]
+                names, of = b.contexts(k)
+                mass = np.zeros(len(names), np.uint8)
+                mass[b.open(c, of, len(names))] = X.received(t, "u1", parts, 2 * parts)
+                b.settled(c, mass[of])
             return b.row(no)
 
-        kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", *("f4" for _ in MASSES)), _states), "states")
+        kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", "i8", "u4", *("f4" for _ in MASSES)), _states), "states")
         both = grams.unionByName(kept.withColumn("part", F.col("part") + F.lit(parts)))
         state, old = cut(told(state, both, settle, STATE, n, v), "tree"), (state, grams, kept)
         release(*old)

@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 from selvage.llm.common import running_before
 from selvage.llm.tokenizer import DEFAULT_VOCABULARY, encoding
+from selvage.session import cut
 
 #: Lengths that share a task of the suffix sum.
 SPAN = 1024
 
 
 def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs); null and empty texts have length 0; repeated rows count as often as they occur; an empty table gives no rows."""
+    """(n_tokens, n_docs), written, so that readers do not encode again.
+
+    Null and empty texts have length 0; very long texts are encoded whole; repeated rows count as often
+    as they occur; other columns, whatever their names, are ignored; an empty table gives no rows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
@@ -29,8 +34,8 @@ def histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = DEFAULT
             n, c = np.unique([len(enc.encode_ordinary(x)) if x else 0 for x in t.column(0).to_pylist()], return_counts=True)
             yield pa.record_batch({"n_tokens": pa.array(n, pa.int64()), "n": pa.array(c, pa.int64())})
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "n_tokens bigint, n bigint")
-    return found.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "n_tokens bigint, n bigint")
+    return cut(found.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

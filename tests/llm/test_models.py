@@ -129,6 +129,14 @@ def test_measures(spark):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
 
 
+def test_windows_of_one_run(spark, monkeypatch):
+    """Equal windows with others of the same key between them are found: here all keys have the same hash part."""
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: quality_rules.F.lit(0).cast("long"))
+    texts = ["a b c x a b c", "a b c d e f g h a b c", "a b c d e f g h i", "p q r s t u p q r v w x s t u"]
+    got = [r.n_repeat_words for r in quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got == [6, 6, 0, 12]
+
+
 def test_weak_supervision(spark):
     """EM recovers planted accuracies; the native posterior is the model's; labels agree."""
     rng = np.random.default_rng(1)
@@ -189,6 +197,20 @@ def test_mixing(spark):
     assert mixing.mixed(mixing.sized_documents(docs.limit(0), none)).count() == 0
 
 
+def test_mixing_odd_columns(spark):
+    """Clashing names, missing and extra columns, nulls, repeated rows, no weight."""
+    data = [(1, "a b c", "s", 5, 1, 2.0, "r", "x"), (1, "a b c", "s", 5, 1, 2.0, "r", "x"), (None, "d e", None, 5, 1, 2.0, "r", "x"), (2, None, "s", 5, 1, 2.0, "r", "x"), (3, "f " * 9000, "s", 5, 1, 2.0, "r", "x")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string, rows int, epochs int, rest double, target string, quality string")
+    labels = spark.createDataFrame([(3, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = mixing.mixed_documents(docs, labels).collect()
+    assert {r.rest for r in got} == {2.0} and {r.quality for r in got} == {"x"} and sum(r.doc_id == 1 for r in got) <= 2
+    assert all(r.taken == r["size"] * r.repeats and r["size"] == len((r.text or "").split()) for r in got)
+    sized = docs.select("*", F.lit(3).cast("long").alias("size")).drop("quality").withColumn("quality", F.lit(0.0))
+    out = mixing.mixed(sized)
+    assert out.count() == 5 and {"rows", "epochs", "rest"} <= set(out.columns)
+    assert mixing.mixed_documents(docs.limit(0), labels).count() == 0
+
+
 def test_heavier_documents_come_first(spark):
     data = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.lit(10).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("quality"))
     r = {x.k: x.n for x in mixing.mixed(data, (1, 3), 3).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("k")).agg(F.sum("repeats").alias("n")).collect()}
@@ -290,6 +312,43 @@ def test_classifier_held_out(spark):
     assert np.mean([r.expected_grade for r in clean]) > np.mean([r.expected_grade for r in toxic]) > np.mean([r.expected_grade for r in junk])
 
 
+def test_fit_is_the_maximum(spark):
+    """Against plain penalised maximum likelihood: no small step of any parameter makes the sample likelier."""
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 600)
+    rows_ = [np.unique(np.concatenate((rng.integers(0, 40, 5), [50 + g] if rng.random() < 0.7 else [60]))).astype(np.int32) for g in grades]
+    m = classifier.fit(rows_, grades, bits=7, steps=3000, rate=0.05, l2=1e-3, z=4.0, power=0.0)
+
+    def loss(weights, theta):
+        above = lambda z, g: 1.0 if g < 0 else 0.0 if g >= len(theta) else 1 / (1 + math.exp(theta[g] - z))
+        z = [sum(weights[i] for i in r) for r in rows_]
+        return -sum(math.log(above(x, g - 1) - above(x, g)) for x, g in zip(z, grades, strict=True)) / len(rows_) + 5e-4 * sum(w * w for w in weights[weights != 0])
+
+    weights, theta = m.weights.astype(float), m.theta
+    least, used = loss(weights, theta), np.flatnonzero(weights)
+    assert 50 in used and 52 in used and weights[52] > weights[50]
+    for i in used:
+        for step in (-0.03, 0.03):
+            moved = weights.copy()
+            moved[i] += step
+            assert loss(moved, theta) > least - 1e-6
+    for i in range(2):
+        for step in (-0.03, 0.03):
+            moved = theta.copy()
+            moved[i] += step
+            assert loss(weights, moved) > least - 1e-6
+
+
+def test_sample_is_bounded(spark):
+    """Documents that repeat a labelled id do not multiply beyond the bound; bytes are bounded too."""
+    docs = spark.createDataFrame([(1, f"a b{i}") for i in range(300)] + [(2, "c d")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert [len(classifier.sampled(docs, labels, n)[0]) for n in (1, 7, 1000)] == [1, 7, 301]
+    whole = classifier.sampled(docs, labels)[0]
+    few = classifier.sampled(docs, labels, most_bytes=4 * sum(len(x) for x in whole[:50]))[0]
+    assert len(few) == 50 and all((a == b).all() for a, b in zip(few, whole, strict=False))
+
+
 def test_classifier_edges(spark):
     docs, labels = spark.createDataFrame(rows(), DOCS), spark.createDataFrame([(5, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     model = classifier.trained(docs, labels)

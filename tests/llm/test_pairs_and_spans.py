@@ -143,7 +143,7 @@ def test_components(spark, kind):
 
 
 def _brute(docs, items, threshold, overlap):
-    """Every passage of every document scored in full against every item."""
+    """Every passage of every document scored in full against every item; an item's passages follow from its length alone."""
     words = lambda t: re.findall(r"[^\s!-/:-@\[-`{-~]+", low(t), re.ASCII)
     w = [words(t or "") for _, t in items]
     n, mean = len(w), max(sum(map(len, w)) / max(len(w), 1), 1)
@@ -155,16 +155,18 @@ def _brute(docs, items, threshold, overlap):
         raw = {x: idf[x] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x, c in tf.items()}
         imp.append({x: v / sum(raw.values()) for x, v in raw.items()})
     grams = lambda t: {tuple(t[i : i + min(3, len(t))]) for i in range(len(t) - min(3, len(t)) + 1)} if t else set()
-    step, out = max(map(len, w), default=0), set()
+    out = set()
     for d, text in docs:
         t = words(text or "")
-        slots = max(1, -(-len(t) // max(step, 1)) - 1)
-        for s in range(slots):
-            p = t[s * step :] if s == slots - 1 else t[s * step : (s + 2) * step]
-            have = {tuple(p[i : i + k]) for k in (1, 2, 3) for i in range(len(p) - k + 1)}
-            for (i, _), v, wi in zip(items, imp, w, strict=True):
+        for (i, _), v, wi in zip(items, imp, w, strict=True):
+            step = 16
+            while step < len(wi):
+                step *= 2
+            for at in range(0, max(len(t) - step, 1), step):
+                p = t[at : at + 2 * step]
                 if not wi or sum(v.get(x, 0) for x in set(p)) < threshold - 1e-9:
                     continue
+                have = {tuple(p[j : j + k]) for k in (1, 2, 3) for j in range(len(p) - k + 1)}
                 c = decontaminate.split(len(wi))
                 parts = [grams(wi[:c]), grams(wi[c:])]
                 if all(not g or len(g & have) / len(g) >= overlap for g in parts):
@@ -189,3 +191,31 @@ def test_leaks(spark):
     kept = {r.doc_id for r in decontaminate.clean(D, I).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.leaks(D, I.limit(0)).count() == 0 and decontaminate.leaks(D.limit(0), I).count() == 0
+
+
+def test_leaks_do_not_depend_on_other_items(spark):
+    """A question and its answer 300 words apart are no leak, whatever other items there are; a whole item is one wherever it stands."""
+    rng = random.Random(5)
+    say = lambda n, v="v": [f"{v}{rng.randrange(4000)}" for _ in range(n)]
+    item, long = say(30, "q"), say(500, "z")
+    apart = item[:20] + say(300) + item[20:]
+    docs = [(1, " ".join(apart)), (2, " ".join(long)), *((10 + k, " ".join(say(k) + item + say(70))) for k in range(0, 80, 3))]
+    D = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for others in ([], [(2, " ".join(long))], [(9, " ".join(say(1500, "y")))]):
+        found = decontaminate.leaks(D, spark.createDataFrame([(1, " ".join(item)), *others], "item_id bigint, text string")).collect()
+        assert {r.doc_id for r in found if r.item_id == 1} == {d for d, _ in docs[2:]}
+
+
+def test_leaks_shards(spark, monkeypatch):
+    """Shards and passes do not change what is found; blocks are skipped, not items; memory follows postings."""
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "GROUP", 2)
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"v{rng.randrange(50)}" for _ in range(n))
+    items = [(i, say(rng.randint(2, 60))) for i in range(40)]
+    docs = [(i, say(rng.randint(0, 80)) + " " + items[i % 40][1] + " " + say(9)) for i in range(60)]
+    cols = spark.createDataFrame([(*d, "x", 1.0, 2) for d in docs], "doc_id bigint, text string, item_id string, score double, start int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(cols, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == _brute(docs, items, 0.5, 0.5)
+    kept = decontaminate.clean(cols, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert kept.columns == cols.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
