@@ -24,19 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of near-duplicates the document of smallest id stays.
-
-    Of several rows with that id all stay; documents without an id or without words stay.
-    """
-    groups = near_dup.near_duplicates(docs)
-    lost = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """Operator 2: of each group of near-duplicates one row stays, that of the smallest id; documents without words stay."""
+    return near_dup.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages of 20 words or more stay where they come first; texts that lose every word go."""
     out = substring_dedup.deduplicated(docs, drop_emptied=True)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents of the mix, with how often each is taken; those not taken go."""
-    sized = mixing.sized_documents(docs, table(spark, sf_dir, "labels"), ["text", "lang", "n_chars"])
-    found = mixing.mixed(sized).where("repeats > 0")
-    return found.select(*docs.columns, "size", "source_size", "target", "repeats", "taken")
+    found = mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+    added = ("size", *mixing.ADDED)
+    return found.select(*(c for c in docs.columns if c not in added), *added)
 
 
 STAGES: list[tuple[str, Stage]] = [
