@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import os
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "selvage", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the session comes from outside."""
@@ -54,19 +53,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage (so a lost executor costs a re-read, not a re-run) and keeps columns compressed.
     The file system removes the table when the application ends.  The shuffle files behind it are
-    not read again: once listeners have let go of the plan, a collection of the driver's heap lets the
-    context cleaner remove them, so that a query of several jobs holds on disk what one of them needs.
+    not read again, so Spark is told to remove them at the end of the write: a query of several jobs
+    holds on disk what one of them needs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/selvage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    gc.collect()
-    with contextlib.suppress(Py4JJavaError):  # a busy listener only delays the cleaning
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
-    jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
