@@ -55,38 +55,42 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Bucket:
-    """The documents of a bucket as token numbers, and the tokens that are not settled yet.
-
-    Arrays kept between jobs: ``id``, ``null`` and ``size`` (tokens) of each document, the distinct
-    token hashes ``keys`` and for each token its number ``token``; then ``count`` (of each key, in
-    training) and each document's ``score`` so far; from the second level on the positions ``at`` of
-    unsettled tokens, the training count ``n`` of the context and the suffix state's probability ``p``
-    (on the second level as the integers that it follows from: count ``c`` of the pair, and ``mass``).
-    Keys stand in the order of local frequency, so that the numbers of frequent words are small.
+    """The documents of a bucket, and their tokens that are not settled yet.
+
+    Arrays kept between jobs.  Of each document: ``id``, ``null``, ``size`` (tokens) and, once words are
+    counted, ``known``, ``base`` and the ``score`` so far.  The distinct token hashes ``keys``, in the order of
+    local frequency, so that the numbers of frequent words are small, and their training ``count``; the
+    token numbers ``token``.  From the second level on ``token`` holds only what unsettled tokens and their
+    contexts need, and of each unsettled token there is its position ``at``, its document ``doc``, the
+    training count ``n`` of the context and the suffix state's probability ``p`` (on the second level as
+    the integers that it follows from: count ``c`` of the pair, and ``mass``).
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, distinct: int = 0) -> None:
         self.kept = arrays
         self.size, self.keys, self.token = arrays["size"], np.cumsum(arrays["keys"], dtype=U), arrays["token"]
         self.ids = [None if x else int(i) for i, x in zip(arrays["id"], arrays["null"], strict=True)]
-        self.owner = np.repeat(np.arange(len(self.size)), self.size)
         self.held = np.array([held_out(i) for i in self.ids], bool)
-        self.train = ~self.held[self.owner]
         self.total, self.distinct = total, distinct
-        self.at = np.zeros(0, np.int64)
+        self.at = self.doc = np.zeros(0, np.int64)
         if "at" in arrays:
-            self.at, self.n = np.cumsum(arrays["at"], dtype=np.int64), arrays["n"]
+            self.at, self.doc, self.n = np.cumsum(arrays["at"], dtype=np.int64), np.cumsum(arrays["doc"], dtype=np.int64), arrays["n"]
             if "p" in arrays:
                 self.p = arrays["p"].astype(np.float64)
             else:
                 m = np.array(MASSES)[arrays["mass"]]
-                self.p = (arrays["c"] + m * self.base()[self.at]) / (arrays["count"][self.token[self.at - 1]] + m)
+                self.p = (arrays["c"] + m * self.base(self.at)) / (arrays["count"][self.token[self.at - 1]] + m)
         elif "count" in arrays:
-            count, base = arrays["count"][self.token], self.base()
-            inside = np.concatenate(([False], self.owner[1:] == self.owner[:-1])) if len(self.owner) else np.zeros(0, bool)
+            owner, count = self.owner(), arrays["count"][self.token]
+            inside = np.concatenate(([False], owner[1:] == owner[:-1]))[: len(owner)]
             before = np.concatenate((count[:1], count[:-1]))
             self.at = np.flatnonzero(inside & (before >= LEAST))
-            self.n, self.p = before[self.at], base[self.at]
+            self.doc, self.n, self.p = owner[self.at], before[self.at], self.base(self.at)
+        self.train = ~self.held[self.doc]
+
+    def owner(self) -> np.ndarray:
+        """Document of each token, while all are there."""
+        return np.repeat(np.arange(len(self.size)), self.size)
 
     @classmethod
     def read(cls, t: pa.Table) -> Bucket:
@@ -107,9 +111,9 @@ class Bucket:
     def row(self, bucket: int) -> pa.Table:
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "live": pa.array([len(self.at)], pa.int64()), "data": pa.array([X.freeze(self.kept)], pa.binary())})
 
-    def base(self) -> np.ndarray:
-        """Unigram probability of each token."""
-        return ((self.kept["count"] + 1.0) / (self.total + self.distinct + 1.0))[self.token]
+    def base(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Unigram probability of tokens."""
+        return (self.kept["count"][self.token[at]] + 1.0) / (self.total + self.distinct + 1.0)
 
     def grams(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n tokens that end at each position."""
@@ -122,22 +126,24 @@ class Bucket:
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words in the order of their hashes, and their local counts."""
         order = np.argsort(self.keys)
-        return self.keys[order], np.bincount(self.token, weights=self.train, minlength=len(self.keys)).astype(np.uint32)[order]
+        return self.keys[order], np.bincount(self.token, weights=~self.held[self.owner()], minlength=len(self.keys)).astype(np.uint32)[order]
 
     def counted(self, t: pa.Table) -> None:
         """Take the words' counts; tokens without a context to test are settled at the base."""
         count = np.empty(len(self.keys), np.int64)
         count[np.argsort(self.keys)] = X.received(t, "i8") & (_FIRST - 1)
-        self.kept = {**self.kept, "count": count}
-        self.__init__(self.kept, self.total, self.distinct)
+        self.__init__({**self.kept, "count": count}, self.total, self.distinct)
+        owner, log = self.owner(), np.log10(self.base())
+        add = lambda at, x: np.bincount(owner[at], weights=x[at], minlength=len(self.size))
         done = np.ones(len(self.token), bool)
         done[self.at] = False
-        self.kept["score"] = np.bincount(self.owner[done], weights=np.log10(self.base()[done]), minlength=len(self.size))
+        every = slice(None)
+        self.kept |= {"score": add(done, log), "base": add(every, log), "known": add(every, count[self.token] > 0).astype(np.int64)}
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams of context and token, their local counts, and each position's number."""
         keys, number = np.unique(self.grams(self.at, level + 1), return_inverse=True)
-        return keys, np.bincount(number, weights=self.train[self.at], minlength=len(keys)).astype(np.uint32), number
+        return keys, np.bincount(number, weights=self.train, minlength=len(keys)).astype(np.uint32), number
 
     def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.grams(self.at - 1, level), return_inverse=True)
@@ -147,7 +153,7 @@ class Bucket:
         here occur twice or more behind it, and their gain for each smoothing mass.  What a follower that
         occurs once loses is known from the count, so contexts without repeated followers send no numbers."""
         ask = self.open(c, of, contexts)
-        again = self.train[self.at] & (c >= 2)
+        again = self.train & (c >= 2)
         count = np.zeros(contexts, np.int64)
         count[of] = self.n
         c, n, p, of = c[again], self.n[again], self.p[again], of[again]
@@ -158,34 +164,36 @@ class Bucket:
         """Contexts that may have a follower that occurs twice; without one a context only loses, and need not be asked for."""
         left = np.zeros(contexts, np.int64)
         left[of] = self.n
-        learn = self.train[self.at]
-        left -= np.bincount(of[learn & (c == 1)], minlength=contexts)
+        left -= np.bincount(of[self.train & (c == 1)], minlength=contexts)
         return left >= 2
 
-    def settled(self, c: np.ndarray, mass: np.ndarray) -> None:
+    def settled(self, c: np.ndarray, mass: np.ndarray, depth: int) -> None:
         """Score in the states of this level (``mass``: number of the state's mass, 0 for no state) and keep what goes deeper."""
         m = np.concatenate(([0.0], MASSES))[mass]
         p = np.where(mass > 0, (c + m * self.p) / (self.n + m), self.p)
         follows = np.zeros(len(self.at), bool)  # the token before was tested too: its n-gram is the longer context
-        follows[1:] = (self.at[1:] == self.at[:-1] + 1) & (self.owner[self.at[1:]] == self.owner[self.at[:-1]])
+        follows[1:] = (self.at[1:] == self.at[:-1] + 1) & (self.doc[1:] == self.doc[:-1])
         longer = np.concatenate((c[:1], c[:-1]))
         deep = follows & (mass > 0) & (longer >= LEAST)
-        done = self.at[~deep]
-        self.kept["score"] = self.kept["score"] + np.bincount(self.owner[done], weights=np.log10(p[~deep]), minlength=len(self.size))
-        at = self.at[deep]
+        score = self.kept["score"] + np.bincount(self.doc[~deep], weights=np.log10(p[~deep]), minlength=len(self.size))
         first = "at" not in self.kept
-        self.kept |= {"at": np.diff(at, prepend=0).astype(np.uint32), "n": longer[deep].astype(np.int64)}
-        self.kept |= {"c": c[deep], "mass": (mass[deep] - 1).astype(np.uint8)} if first else {"p": p[deep].astype(np.float32)}
-        for name in () if first else ("c", "mass"):
-            self.kept.pop(name, None)
-        self.at, self.n, self.p = at, self.kept["n"], p[deep]
+        at, self.doc, self.n, self.p = self.at[deep], self.doc[deep], longer[deep].astype(np.int64), p[deep]
+        # tokens that no unsettled one can have in a context go, and words that occur nowhere else
+        need = np.zeros(len(self.token), bool)
+        for j in range(depth + 1):
+            need[at[at >= j] - j] = True
+        self.at, token = (np.cumsum(need) - 1)[at], self.token[need]
+        used = np.bincount(token, minlength=len(self.keys)) > 0
+        self.kept = {k: self.kept[k] for k in ("id", "null", "size", "known", "base")} | {
+            "score": score, "keys": np.diff(self.keys[used], prepend=U(0)), "count": self.kept["count"][used], "token": (np.cumsum(used) - 1)[token].astype(np.uint32),
+            "at": np.diff(self.at, prepend=0).astype(np.uint32), "doc": np.diff(self.doc, prepend=0).astype(np.uint32), "n": self.n,
+        }
+        self.kept |= {"c": c[deep], "mass": (mass[deep] - 1).astype(np.uint8)} if first else {"p": self.p.astype(np.float32)}
 
     def result(self) -> pa.RecordBatch:
         """What is not settled at the greatest depth scores in the state that it has."""
-        left = np.bincount(self.owner[self.at], weights=np.log10(self.p), minlength=len(self.size))
-        add = lambda x: np.bincount(self.owner, weights=x, minlength=len(self.size))
-        known = add(self.kept["count"][self.token] > 0).astype(np.int64)
-        cols = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.size), pa.array(known), pa.array([self.total] * len(known), pa.int64()), pa.array(add(np.log10(self.base()))), pa.array(self.kept["score"] + left)]
+        left = np.bincount(self.doc, weights=np.log10(self.p), minlength=len(self.size)) if len(self.at) else 0.0
+        cols = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.size), pa.array(self.kept["known"]), pa.array([self.total] * len(self.size), pa.int64()), pa.array(self.kept["base"]), pa.array(self.kept["score"] + left)]
         return pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -287,7 +295,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
                 names, of = b.contexts(k)
                 mass = np.zeros(len(names), np.uint8)
                 mass[b.open(c, of, len(names))] = X.received(t, "u1", parts, 2 * parts)
-                b.settled(c, mass[of])
+                b.settled(c, mass[of], depth)
             return b.row(no)
 
         kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", "i8", "u4", *("f4" for _ in MASSES)), _states), "states")
