@@ -48,18 +48,34 @@ def normal_page(c: Column) -> Column:
 
 
 def div_balance(c: Column) -> Column:
-    """struct(open, stray): divs left open at the end, and closers without an opener."""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.startswith(x, F.lit(":::")))
-    step = F.transform(lines, lambda x: F.when(F.rlike(x, F.lit(r"^:::+\s*$")), -1).otherwise(1))
-    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("stray"))
-    add = lambda a, s: F.struct(F.greatest(a.open + s, F.lit(0)).alias("open"), (a.stray + F.when(a.open + s < 0, 1).otherwise(0)).alias("stray"))
-    return F.aggregate(step, zero, add)
+    """struct(open, stray, drop): divs left open at the end, closers without an opener, and the lines of these.
+
+    Lines of fenced code and of display formulas do not count; a fence closes with its own mark, a formula with the next ``$$``.
+    """
+    state = "struct<no:int,open:int,fence:string,math:boolean,drop:array<int>>"
+    zero = F.struct(F.lit(0), F.lit(0), F.lit(""), F.lit(False), F.array().cast("array<int>")).cast(state)
+
+    def step(a: Column, x: Column) -> Column:
+        mark = F.regexp_extract(x, r"^ {0,3}(```|~~~)", 1)
+        fence = F.when(a["math"], a["fence"]).when(a["fence"] == "", mark).when(mark == a["fence"], "").otherwise(a["fence"])
+        code = (a["fence"] != "") | (fence != "")
+        odd = F.pmod(F.regexp_count(x, F.lit(r"\$\$")), F.lit(2)) == 1
+        math = F.when(code, a["math"]).otherwise(a["math"] != odd)
+        plain = ~code & ~a["math"]
+        closes, opens = plain & F.rlike(x, F.lit(r"^:::+\s*$")), plain & F.rlike(x, F.lit(r"^:::+\s*[^:\s]"))
+        depth = a["open"] + F.when(opens, 1).when(closes & (a["open"] > 0), -1).otherwise(0)
+        drop = F.when(closes & (a["open"] == 0), F.array_append(a["drop"], a["no"])).otherwise(a["drop"])
+        return F.struct(a["no"] + 1, depth, fence, math, drop).cast(state)
+
+    end = F.aggregate(F.split(c, "\n"), zero, step)
+    return F.struct(end["open"].alias("open"), F.size(end["drop"]).alias("stray"), end["drop"].alias("drop"))
 
 
 def balanced_divs(c: Column) -> Column:
-    """closers for the divs that stay open."""
-    n = div_balance(c)["open"]
-    return F.concat(c, F.repeat(F.lit("\n:::"), n))
+    """the text without closers that close nothing, and with closers for the divs that stay open."""
+    end = div_balance(c)
+    kept = F.filter(F.split(c, "\n"), lambda x, i: ~F.array_contains(end["drop"], i))
+    return F.concat(F.array_join(kept, "\n"), F.repeat(F.lit("\n:::"), end["open"]))
 
 
 def clean_markdown(c: Column, shift: int = 2) -> Column:

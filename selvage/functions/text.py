@@ -5,6 +5,9 @@ Java regular expressions are ASCII by default; classes are spelled out where Uni
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,20 +113,50 @@ def clean_variant(c: Column) -> Column:
     return F.regexp_replace(c, r"\[([^\]]+)\]\(#[^)\s]*:[^)\s]*\)", "$1")
 
 
-#: Letters whose transliteration is not the letter without its mark.
-ONE_TO_MANY = {"щ": "shch", "ж": "zh", "ч": "ch", "ш": "sh", "ц": "ts", "ю": "yu", "я": "ya", "х": "kh", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"}
-ONE_TO_ONE = ("абвгдеёзийклмнопрстуфыэ", "abvgdeezijklmnoprstufye")
-MARKED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďęěğīłńňőřśšťůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeegilnnorsstuuzzz")
+#: Letters and their transliterations.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "і": "i", "ї": "yi", "є": "ye", "ґ": "g", "ў": "u",
+}
+LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
+GREEK = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu",
+    "ν": "nu", "ξ": "xi", "ο": "omicron", "π": "pi", "ρ": "rho", "σ": "sigma", "ς": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
+}
+#: Apostrophes, which vanish.
+APOSTROPHES = "'’‘`ʼ"
+
+
+def normal(c: Column, form: str) -> Column:
+    """Unicode normal form, which no built-in function gives: Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.str.normalize(form)
+
+    return run(c)
+
+
+def _spelled(c: Column, table: dict[str, str]) -> Column:
+    """Letters by their spelling: single ones and none by one ``translate``, the others one by one."""
+    short = {a: b for a, b in table.items() if len(b) <= 1}
+    kept = [a for a, b in short.items() if b]
+    c = F.translate(c, "".join(kept) + "".join(a for a in short if a not in kept), "".join(short[a] for a in kept))
+    for a, b in table.items():
+        c = F.replace(c, F.lit(a), F.lit(b)) if len(b) > 1 else c
+    return c
 
 
 def slugify(c: Column, limit: int = 60) -> Column:
-    """transliterated, lower-cased, runs of other characters become '-', cut at a word; empty is 'untitled'."""
-    s = F.translate(F.lower(c), "ъь'’", "")
-    for a, b in ONE_TO_MANY.items():
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.replace(s, F.lit("й"), F.lit("y"))
-    s = F.translate(F.translate(s, *ONE_TO_ONE), *MARKED)
-    s = F.trim(F.regexp_replace(s, "[^a-z0-9]+", "-"), F.lit("-"))
+    """transliterated, lower-cased, runs of other characters become '-', cut at a word; empty is 'untitled'.
+
+    Letters are looked up composed (so that a letter with a mark is one), Greek ones after
+    decomposition; marks and letters without a transliteration vanish.
+    """
+    s = _spelled(F.lower(normal(c, "NFKC")), {**CYRILLIC, **LATIN, **dict.fromkeys(APOSTROPHES, "")})
+    s = _spelled(normal(s, "NFKD"), GREEK)
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\x00-\x7F]", ""), "[^a-z0-9]+", "-"), F.lit("-"))
     head = F.substring(s, 1, limit)
     whole = F.when((F.length(s) > limit) & (F.substring(s, limit + 1, 1) != "-") & F.contains(head, F.lit("-")), F.regexp_replace(head, "-[^-]*$", "")).otherwise(head)
     whole = F.trim(whole, F.lit("-"))
@@ -169,19 +202,26 @@ def file_name(c: Column) -> Column:
     return F.regexp_extract(F.regexp_extract(c, r"://[^/?#]*([^?#]*)", 1), r"([^/]*)$", 1)
 
 
-#: Hosts of videos, and extensions of media.
-VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "rutube.ru", "dailymotion.com", "twitch.tv")
+#: Hosts on which every page is a video, hosts on which some are, and extensions of media.
+VIDEO_HOSTS = ("youtube.com", "youtu.be", "youtube-nocookie.com", "vkvideo.ru", "rutube.ru")
+PARTLY_VIDEO_HOSTS = ("vk.com", "vk.ru")
 MEDIA = {"video": ("mp4", "mkv", "webm", "avi", "mov"), "audio": ("mp3", "wav", "m4a", "ogg", "flac")}
 
 
 def url_kind(c: Column) -> Column:
-    """S13: 'video' by host (subdomains included) or extension, 'audio' by extension, else 'web'."""
-    host = F.lower(F.regexp_extract(c, r"://([^/?#:]*)", 1))
-    ext = F.lower(F.regexp_extract(file_name(c), r"\.([A-Za-z0-9]+)$", 1))
-    on_host = F.lit(False)
-    for h in VIDEO_HOSTS:
-        on_host = on_host | (host == h) | F.endswith(host, F.lit(f".{h}"))
-    return F.when(on_host | ext.isin(*MEDIA["video"]), "video").when(ext.isin(*MEDIA["audio"]), "audio").otherwise("web")
+    """S13: 'video' by host (subdomains included) or extension, 'audio' by extension, else 'web'.
+
+    On hosts that are only partly video the path must start with /video or /clip, or a query field ``z`` name one.
+    """
+    s = F.trim(c)
+    host = F.rtrim(F.lower(F.regexp_extract(s, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("."))
+    ext = F.lower(F.regexp_extract(file_name(s), r"\.([A-Za-z0-9]+)$", 1))
+    on = lambda hosts: functools.reduce(lambda a, h: a | (host == h) | F.endswith(host, F.lit(f".{h}")), hosts, F.lit(False))
+    path, query = F.regexp_extract(s, r"://[^/?#]*([^?#]*)", 1), F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1)
+    fields = F.transform(F.split(query, "&"), lambda x: F.coalesce(F.try_url_decode(x), x))
+    named = F.exists(fields, lambda x: F.rlike(x, F.lit(r"^z=(?i:video|clip)-?[0-9]")))
+    some = on(PARTLY_VIDEO_HOSTS) & (F.rlike(path, F.lit("^/(?i:video|clip)")) | named)
+    return F.when(on(VIDEO_HOSTS) | some | ext.isin(*MEDIA["video"]), "video").when(ext.isin(*MEDIA["audio"]), "audio").otherwise("web")
 
 
 #: Format by extension, kind by format, first bytes by format.
@@ -229,26 +269,26 @@ def backslash_math(c: Column) -> Column:
 
 #: P6, fixed patterns: texts that are nothing but a page number.
 PAGE_NUMBER = (
-    r"^[0-9]{1,3}$", r"^[0-9]{1,4}\s*/\s*[0-9]{1,4}$", r"^[-–—]\s*[0-9]{1,4}\s*[-–—]$",
-    r"(?iu)^(стр|страница|с|p|page)\.?\s*[0-9]{1,4}(\s*(из|of|/)\s*[0-9]{1,4})?$", r"(?i)^[ivxl]{1,6}$", r"^\[\s*[0-9]{1,4}\s*\]$",
+    r"^[0-9]{1,3}$", r"^[-–—]\s*[0-9]{1,4}\s*[-–—]$", r"^[0-9]{1,4}\s*/\s*[0-9]{1,4}$", r"(?iu)^[0-9]{1,4}\s*(из|of)\s*[0-9]{1,4}$",
+    r"(?iu)^(стр\.?|страница|с\.|page|p\.|pg\.|слайд|slide)\s*[0-9]{1,4}(\s*(из|of|/)\s*[0-9]{1,4})?$",
+    r"(?i)^(?=[ivxlc])c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$",
 )
+#: P7, fixed patterns: words of page numbering, and a number at an edge next to a separator.
+PAGE_WORD = r"(?iuU)(?<!\w)(стр|страница|page|pg|слайд|slide)(?!\w)|(?<!\w)[сp]\.\s*[0-9]|[0-9]\s*(из|of|/)\s*[0-9]"
+EDGE_FIRST, EDGE_LAST = r"^[0-9]{1,4}(?=\s*[|·•—–-]\s)", r"([|·•—–-]\s*)[0-9]{1,4}$"
 
 
 def is_page_number(c: Column) -> Column:
     """At most 24 characters and one of the page-number forms."""
     s = clean_line(c)
-    hit = F.lit(False)
-    for p in PAGE_NUMBER:
-        hit = hit | F.rlike(s, F.lit(p))
-    return (F.length(s) <= 24) & hit
+    return (F.length(s) <= 24) & functools.reduce(lambda a, p: a | F.rlike(s, F.lit(p)), PAGE_NUMBER, F.lit(False))
 
 
 def running_key(c: Column) -> Column:
-    """Digits masked where a page word occurs, else only a number at the edge next to a separator."""
+    """Digits masked where a page word occurs, else only a number at the edge next to a separator; separators at the ends go."""
     s = F.lower(clean_line(c))
-    paged = F.rlike(s, F.lit(r"(?u)(^|[^\p{L}])(стр|страница|page|p)([^\p{L}]|$)"))
-    edge = F.regexp_replace(F.regexp_replace(s, r"^[0-9]{1,4}(\s*[|·—–-])", "#$1"), r"([|·—–-]\s*)[0-9]{1,4}$", "$1#")
-    return F.when(paged, F.regexp_replace(s, "[0-9]+", "#")).otherwise(edge)
+    edge = F.regexp_replace(F.regexp_replace(s, EDGE_FIRST, "#"), EDGE_LAST, "$1#")
+    return F.trim(F.when(F.rlike(s, F.lit(PAGE_WORD)), F.regexp_replace(s, "[0-9]+", "#")).otherwise(edge), F.lit(" .·|-–—"))
 
 
 def line_type(c: Column) -> Column:
@@ -263,8 +303,12 @@ def line_type(c: Column) -> Column:
     )
 
 
-#: P13, fixed patterns in order: what an agent's error text means.
-ERRORS = (("auth", r"(?i)unauthori[sz]ed|not logged in|invalid api key|authentication"), ("rate_limit", r"(?i)rate.?limit|too many requests|usage limit|quota"))
+#: P13, fixed patterns in order: what an agent's error text means.  A mere mention of a login counts last.
+ERRORS = (
+    ("auth", r"(?i)not logged in|\b401\b|unauthori[sz]ed|authentication[_ ]failed|invalid api key|invalid x-api-key|please run /login|oauth token|token (has )?expired|not authenticated|login required"),
+    ("rate_limit", r"(?i)rate[_ -]?limit|\b429\b|usage limit|limit reached|hit your (usage )?limit|too many requests|quota|overloaded|\b529\b"),
+    ("auth", r"(?i)\blog ?in\b|credentials"),
+)
 
 
 def error_kind(c: Column) -> Column:

@@ -107,9 +107,10 @@ def running_lines(rows: DataFrame, doc: str, page: str, line: str, share: float
     """(doc, key, pages) of masked lines on at least max(least, ceil(share n)) of a document's n >= 3 pages,
     or of its odd or even pages when n >= 6; page numbers always."""
     rows = rows.select(doc, page, T.running_key(F.col(line)).alias("key"), T.is_page_number(F.col(line)).alias("number")).where("key <> ''")
-    sizes = rows.groupBy(doc).agg(F.countDistinct(page).alias("n"), F.countDistinct(F.when(F.col(page) % 2 == 1, F.col(page))).alias("n_odd"))
-    odd = F.countDistinct(F.when(F.col(page) % 2 == 1, F.col(page)))
-    keyed = rows.groupBy(doc, "key").agg(F.countDistinct(page).alias("pages"), odd.alias("odd"), F.max("number").alias("number"))
+    seen = rows.groupBy(doc, "key", page).agg(F.max("number").alias("number"))
+    odd = F.count_if(F.col(page) % 2 == 1)
+    sizes = seen.groupBy(doc, page).agg(F.lit(1).alias("__1")).groupBy(doc).agg(F.count(F.lit(1)).alias("n"), odd.alias("n_odd"))
+    keyed = seen.groupBy(doc, "key").agg(F.count(F.lit(1)).alias("pages"), odd.alias("odd"), F.max("number").alias("number"))
     keyed = keyed.join(sizes, doc)
     need = lambda n, floor: F.greatest(F.lit(floor), F.ceil(F.lit(share) * n))
     even, n_even = F.col("pages") - F.col("odd"), F.col("n") - F.col("n_odd")

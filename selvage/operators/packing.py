@@ -48,23 +48,50 @@ def numbered(rows: DataFrame, bucket: Column, order: str | Column, out: str) ->
     return rows.join(sizes, F.col("__b").eqNullSafe(F.col("__c"))).withColumn(out, F.col("__before") + inside).drop("__b", "__c", "__before")
 
 
+#: Positions that share a task when intervals are laid side by side.
+SPAN = 1024
+
+
+def islands(rows: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
+    """Adds ``island``: the least ``first`` of the run of transitively overlapping intervals [first, last].
+
+    A running maximum in two levels: one row for each ``SPAN`` positions meets in one task.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__b", F.floor(F.col(first) / SPAN))
+    inside = Window.partitionBy("__b").orderBy(first, last)
+
+    def reach(rows: DataFrame, value: Column, out: str, own: bool) -> DataFrame:
+        """Maximum of ``value`` over the rows before (``own``: and this one)."""
+        rows = rows.withColumn("__v", value)
+        tops = rows.groupBy(F.col("__b").alias("__c")).agg(F.max("__v").alias("__m"))
+        tops = tops.select("__c", F.max("__m").over(before(Window.orderBy("__c"))).alias("__top"))
+        here = inside.rowsBetween(Window.unboundedPreceding, 0) if own else before(inside)
+        return rows.withColumn("__in", F.max("__v").over(here)).join(tops, F.col("__b") == F.col("__c")).withColumn(out, F.greatest("__in", "__top")).drop("__v", "__in", "__c", "__top")
+
+    rows = reach(rows, F.col(last), "__reached", False)
+    starts = F.when(F.col("__reached").isNull() | (F.col(first) > F.col("__reached")), F.col(first))
+    return reach(rows, starts, "island", True).drop("__b", "__reached")
+
+
 def kept_groups(items: DataFrame, previous: DataFrame, most: int = 60_000, count: int = 4) -> DataFrame:
-    """(grp) of previous groups that stay: members known, contiguous in the same order, within the limits.
+    """(grp, first, last, n, z) of previous groups that stay: members known, contiguous in the same order, within the limits.
 
-    ``items``: (id, pos, size); ``previous``: (grp, ord, id), grp a number.  A member claimed by an earlier group that
-    stays rejects later ones; one row for each 1024 numbers meets in one task, members are joined.
+    ``items``: (id, pos, size); ``previous``: (grp, ord, id), grp a number.  In the order of grp a group stays if no
+    member belongs to one that stays already; rejected groups claim nothing.  Groups that overlap, directly or
+    through others, are decided together, by a fold over the few of their run.
     """
     m = previous.join(items, "id", "left")
     w = Window.partitionBy("grp").orderBy("ord")
     m = m.withColumn("gap", F.col("pos") - F.lag("pos").over(w))
     g = m.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count("pos").alias("known"), F.sum("size").alias("z"), F.min(F.coalesce("gap", F.lit(1))).alias("lo"), F.max(F.coalesce("gap", F.lit(1))).alias("hi"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     fit = (F.col("known") == F.col("n")) & (F.col("n") <= count) & (F.col("lo") == 1) & (F.col("hi") == 1) & ((F.col("n") == 1) | (F.col("z") <= most))
-    g = g.where(fit).withColumn("__b", F.floor(F.col("grp") / 1024))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tops = g.groupBy(F.col("__b").alias("__c")).agg(F.max("last").alias("__m"))
-    tops = tops.select("__c", F.max("__m").over(earlier(Window.orderBy("__c"))).alias("__top"))
-    inside = F.max("last").over(earlier(Window.partitionBy("__b").orderBy("grp")))
-    return g.join(tops, F.col("__b") == F.col("__c")).withColumn("before", F.greatest(inside, "__top")).where("before IS NULL OR first > before").select("grp", "first", "last", "n", "z")
+    g = islands(g.where(fit).select("grp", "first", "last", "n", "z"))
+    run = g.groupBy("island").agg(F.sort_array(F.collect_list(F.struct("grp", "first", "last", "n", "z"))).alias("run"))
+    none = F.slice("run", 1, 0)
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["first"] <= x["last"]) & (x["first"] <= k["last"]))
+    kept = F.aggregate("run", none, lambda kept, x: F.when(free(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return run.select(F.inline(kept))
 
 
 def chunk_cuts(starts: Column, duration: Column, pauses: Column, low: float = 360, high: float = 660, aim: float = 540, radius: float = 60) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from selvage.session import cut
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -71,7 +73,7 @@ def slide_matches(frames: DataFrame, refs: DataFrame, ink: float = 0.35, corr: f
 
 
 def earlier_duplicates(boards: DataFrame, most: float = 0.12) -> DataFrame:
-    """(ord, dup, root): the earliest earlier board of another epoch within ``most``; root follows the chain one step at a time.
+    """(ord, dup, root): the earliest earlier board of another epoch within ``most``; root follows the chain to its end.
 
     ``boards``: (rec, ord, epoch, ink).  Boards of one recording only are compared.
     """
@@ -79,8 +81,14 @@ def earlier_duplicates(boards: DataFrame, most: float = 0.12) -> DataFrame:
     b = boards.select("rec", F.col("ord").alias("o2"), F.col("epoch").alias("e2"), F.col("ink").alias("i2"))
     j = a.join(b, "rec").where((F.col("o2") < F.col("ord")) & (F.col("e2") != F.col("epoch"))).where(ink_distance(F.col("ink"), F.col("i2")) <= most)
     dup = j.groupBy("rec", "ord").agg(F.min("o2").alias("dup"))
-    up = dup.select("rec", F.col("ord").alias("dup"), F.col("dup").alias("up"))
-    return dup.join(up, ["rec", "dup"], "left").select("rec", "ord", "dup", F.coalesce("up", "dup").alias("root"))
+    # each round doubles the steps that a root lies ahead, until no root has an earlier one itself
+    rows = cut(dup.withColumn("root", F.col("dup")), "roots")
+    while True:
+        up = rows.select("rec", F.col("ord").alias("root"), F.col("root").alias("up"))
+        ahead = rows.join(up, ["rec", "root"], "left")
+        if ahead.where("up IS NOT NULL").isEmpty():
+            return rows.select("rec", "ord", "dup", "root")
+        rows = cut(ahead.select("rec", "ord", "dup", F.coalesce("up", "root").alias("root")), "roots")
 
 
 def sliding(rows: DataFrame, key: str, order: str, value: str, hold: int) -> DataFrame:

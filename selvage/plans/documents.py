@@ -28,9 +28,12 @@ def block_types(spark: SparkSession, sf: str) -> DataFrame:
     return base.blocks(spark, sf).groupBy("source", T.line_type(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("text_measures", f"""WITH {BLOCKS} SELECT id, length(regexp_replace(text, '\\s+', '', 'g')) AS size,
- CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 80 THEN rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 79)) || '…' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS snippet
- FROM blocks WHERE NOT contains(text, '$') AND NOT contains(text, '<!--')""")
+_FORMULA = r"(?s:\$\$.*?\$\$)|\$[^$\n]*\$"
+_LINE = f"trim(regexp_replace(regexp_replace(text, '{_FORMULA}', '…', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("text_measures", f"""WITH {BLOCKS} SELECT id, length(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '\\s+', '', 'g')) AS size,
+ CASE WHEN length({_LINE}) > 80 THEN rtrim(substr({_LINE}, 1, 79)) || '…' ELSE {_LINE} END AS snippet FROM blocks""")
 def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Size without white space, and the snippet of each block."""
     return base.blocks(spark, sf).select("id", T.text_size(F.col("text")).alias("size"), T.snippet(F.col("text")).alias("snippet"))
@@ -138,13 +141,22 @@ def same_ids(spark: SparkSession, sf: str) -> DataFrame:
     return C.same_set(b.where("pos % 2 = 0"), b.where("pos % 3 = 0"))
 
 
-@query("running_lines", f"""WITH {BLOCKS}, k AS (SELECT source, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM blocks),
- n AS (SELECT source, count(DISTINCT doc_id) AS n FROM k WHERE key <> '' GROUP BY source), p AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k WHERE key <> '' GROUP BY ALL)
- SELECT source, key, pages FROM p JOIN n USING (source) WHERE n >= 3 AND pages >= greatest(2, ceil(0.1 * n))""")
+_PAGED = r"(^|[^\p{L}\p{N}_])(стр|страница|page|pg|слайд|slide)($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])[сp]\.\s*[0-9]|[0-9]\s*(из|of|/)\s*[0-9]"
+_NUMBER = r"^[0-9]{1,3}$|^[-–—]\s*[0-9]{1,4}\s*[-–—]$|^[0-9]{1,4}\s*(/|из|of)\s*[0-9]{1,4}$|^(стр\.?|страница|с\.|page|p\.|pg\.|слайд|slide)\s*[0-9]{1,4}(\s*(из|of|/)\s*[0-9]{1,4})?$|^c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+_EDGED = r"regexp_replace(regexp_replace(l, '^[0-9]{1,4}(\s*[|·•—–-]\s)', '#\1'), '([|·•—–-]\s*)[0-9]{1,4}$', '\1#')"
+
+
+@query("running_lines", f"""WITH {BLOCKS}, l AS (SELECT source, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS l FROM blocks),
+ k AS (SELECT source, doc_id, length(l) <= 24 AND l <> '' AND regexp_matches(l, '{_NUMBER}') AS number,
+       trim(CASE WHEN regexp_matches(l, '{_PAGED}') THEN regexp_replace(l, '[0-9]+', '#', 'g') ELSE {_EDGED} END, ' .·|-–—') AS key FROM l),
+ c AS (SELECT * FROM k WHERE key <> ''),
+ n AS (SELECT source, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (WHERE doc_id % 2 = 1) AS n_odd FROM c GROUP BY source),
+ p AS (SELECT source, key, count(DISTINCT doc_id) AS pages, count(DISTINCT doc_id) FILTER (WHERE doc_id % 2 = 1) AS odd, bool_or(number) AS number FROM c GROUP BY ALL)
+ SELECT source, key, pages FROM p JOIN n USING (source) WHERE number OR (n >= 3 AND pages >= greatest(2, ceil(0.1 * n)))
+  OR (n >= 6 AND (odd >= greatest(3, ceil(0.1 * n_odd)) OR pages - odd >= greatest(3, ceil(0.1 * (n - n_odd)))))""")
 def running_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines on a tenth of a source's documents (a document in the role of a page, lines in that of headers)."""
-    rows = base.blocks(spark, sf).withColumn("page", F.col("doc_id") * 2)  # no odd pages, so the halves add nothing
-    return B.running_lines(rows, "source", "page", "text", share=0.1)
+    """Lines on a tenth of a source's documents, or of its odd or even ones (a document in the role of a page, lines in that of headers)."""
+    return B.running_lines(base.blocks(spark, sf), "source", "doc_id", "text", share=0.1)
 
 
 @query("repeated_digests", f"WITH {BLOCKS} SELECT source, sha256(text) AS digest, count(DISTINCT doc_id) AS pages FROM blocks GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3")
@@ -168,7 +180,10 @@ def vocabulary_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return B.vocabulary(table(spark, sf, "documents"), "source", "text").groupBy("source").agg(F.count(F.lit(1)).alias("words"))
 
 
-@query("letter_shares", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\\p{L}')) > 0 THEN round(len(regexp_extract_all(text, '[à-ÿ]')) / len(regexp_extract_all(text, '\\p{L}')), 3) END AS share FROM documents WHERE NOT contains(text, '$')")
+_PLAIN = f"regexp_replace(text, '{_FORMULA}', ' ', 'g')"
+
+
+@query("letter_shares", f"SELECT doc_id, CASE WHEN len(regexp_extract_all({_PLAIN}, '\\p{{L}}')) > 0 THEN round(len(regexp_extract_all({_PLAIN}, '[à-öø-ÿ]')) / len(regexp_extract_all({_PLAIN}, '\\p{{L}}')), 3) END AS share FROM documents")
 def letter_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a script (marked Latin letters here) among letters."""
     return table(spark, sf, "documents").select("doc_id", T.letter_share(F.col("text"), "à-ÿ").alias("share"))

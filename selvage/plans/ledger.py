@@ -159,7 +159,7 @@ def page_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return S.web_markdown(table(spark, sf, "pages").select("page_id", "html"))
 
 
-@query("url_keys", "SELECT page_id, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', '') || regexp_replace(regexp_replace(u, '^[^/?]*', ''), '/(\\?|$)', '\\1') AS key, CASE WHEN regexp_matches(url, '\\.(mp4|mkv|webm|avi|mov)$') THEN 'video' ELSE 'web' END AS kind FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^(?i)www\\.', '') AS u FROM pages WHERE NOT contains(url, '%'))")
+@query("url_keys", "SELECT page_id, regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', '') || regexp_replace(regexp_replace(u, '^[^/?]*', ''), '/(\\?|$)', '\\1') AS key, CASE WHEN regexp_matches(url, '\\.(mp4|mkv|webm|avi|mov)$') THEN 'video' ELSE 'web' END AS kind FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^(?i)www\\.', '') AS u FROM pages)")
 def url_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison key and kind of each URL."""
     return table(spark, sf, "pages").select("page_id", T.url_key(F.col("url")).alias("key"), T.url_kind(F.col("url")).alias("kind"))

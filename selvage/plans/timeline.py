@@ -23,7 +23,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("srt_times", f"""WITH {SEGMENTS}, m AS (SELECT rec, pos, round(start * 1000)::BIGINT AS ms FROM segments)
  SELECT rec, pos, printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS t,
- CASE WHEN ms // 3600000 > 0 THEN printf('%d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%02d:%02d', ms // 60000, (ms // 1000) % 60) END AS clock FROM m WHERE ms % 1000 < 999""")
+ CASE WHEN ms // 3600000 > 0 THEN printf('%d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%02d:%02d', ms // 60000, (ms // 1000) % 60) END AS clock FROM m""")
 def srt_times(spark: SparkSession, sf: str) -> DataFrame:
     """Subtitle and clock times."""
     return base.segments(spark, sf).select("rec", "pos", T.srt_time(F.col("start")).alias("t"), T.clock(F.round(F.col("start") * 1000) / 1000).alias("clock"))
@@ -193,16 +193,21 @@ def packed_orders(spark: SparkSession, sf: str) -> DataFrame:
     return P.packed(o, ["o_custkey"], "o_orderkey", "size", 300, 4)
 
 
-@query("kept_groups", """WITH i AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos, floor(o_totalprice / 1000) AS size FROM orders WHERE o_orderkey <= 4000),
- p AS (SELECT pos // 3 AS grp, pos AS ord, CASE WHEN pos % 17 = 0 THEN -1 ELSE id END AS id FROM i),
- m AS (SELECT grp, count(*) AS n, count(i.id) AS known, sum(size) AS z, min(i.pos) AS first, max(i.pos) AS last FROM p LEFT JOIN i USING (id) GROUP BY grp)
- SELECT grp, first, last, n, z::BIGINT AS z FROM m WHERE known = n AND n <= 4 AND (n = 1 OR z <= 400)""")
+@query("kept_groups", """WITH i AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS pos, floor(o_totalprice / 1000) AS size FROM orders),
+ p AS (SELECT pos // 3 AS grp, pos AS ord, CASE WHEN pos % 17 = 0 THEN -1 ELSE id END AS id FROM i
+       UNION ALL SELECT 1000000000000 + (pos + 1) // 3, pos, id FROM i),
+ m AS (SELECT grp, count(*) AS n, count(i.id) AS known, sum(size) AS z, min(i.pos) AS first, max(i.pos) AS last FROM p LEFT JOIN i USING (id) GROUP BY grp),
+ v AS (SELECT grp, first, last, n, z::BIGINT AS z FROM m WHERE known = n AND n <= 4 AND (n = 1 OR z <= 400)),
+ a AS (SELECT * FROM v WHERE grp < 1000000000000), b AS (SELECT * FROM v WHERE grp >= 1000000000000),
+ taken AS (SELECT unnest(range(first, last + 1)) AS pos FROM a), free AS (SELECT *, unnest(range(first, last + 1)) AS pos FROM b)
+ SELECT * FROM a UNION ALL SELECT grp, first, last, n, z FROM free f LEFT JOIN taken t ON f.pos = t.pos GROUP BY ALL HAVING count(t.pos) = 0""")
 def kept_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Previous groups of three that are still valid (every 17th member vanished)."""
+    """Previous groups of three that are still valid (every 17th member vanished), then groups of three one place on where these left room."""
     o = P.numbered(table(spark, sf, "orders"), F.floor(F.col("o_orderkey") / 4096), "o_orderkey", "pos")
     items = o.select(F.col("o_orderkey").alias("id"), "pos", F.floor(F.col("o_totalprice") / 1000).alias("size"))
     prev = items.select(F.floor(F.col("pos") / 3).alias("grp"), F.col("pos").alias("ord"), F.when(F.col("pos") % 17 == 0, -1).otherwise(F.col("id")).alias("id"))
-    return P.kept_groups(items, prev, 400, 4)
+    later = items.select((F.lit(10**12) + F.floor((F.col("pos") + 1) / 3)).alias("grp"), F.col("pos").alias("ord"), "id")
+    return P.kept_groups(items, prev.unionByName(later), 400, 4)
 
 
 @query("chunk_cuts")

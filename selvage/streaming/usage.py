@@ -34,14 +34,19 @@ FINAL = ("result", "error", "rate_limit", "message")
 
 
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(session, kind, model, text) of JSON lines; lines that are no JSON object are dropped."""
-    j = F.from_json(column, "session string, type string, model string, text string")
-    return lines.select(j.alias("j")).where("j.type IS NOT NULL").select("j.session", F.col("j.type").alias("kind"), "j.model", "j.text")
+    """(session, seq, kind, model, text, limits) of JSON lines; lines that are no JSON object are dropped.  ``seq`` numbers a session's lines."""
+    j = F.from_json(column, "session string, seq bigint, type string, model string, text string, limits map<string,double>")
+    return lines.select(j.alias("j")).where("j.type IS NOT NULL").select("j.session", "j.seq", F.col("j.type").alias("kind"), "j.model", "j.text", "j.limits")
 
 
 def stream_state(rows: DataFrame) -> DataFrame:
-    """Per session the last model, the lines seen, retries, and whether a fatal line came; the same aggregation in batch and stream."""
-    return rows.groupBy("session").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("kind") == "rate_limit").alias("retries"), F.bool_or(F.col("kind") == "error").alias("fatal"), F.max("model").alias("model"))
+    """Per session the lines seen, retries, whether a fatal line came, and the last model and limits that a line names;
+    the same aggregation in batch and stream.  Lines without a number count as earliest; of equal numbers the greatest name is taken."""
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.coalesce("seq", F.lit(-1)).alias("s"), (F.to_json(c) if c == "limits" else F.col(c)).alias("v"))))["v"]
+    return rows.groupBy("session").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("kind") == "rate_limit").alias("retries"), F.bool_or(F.col("kind") == "error").alias("fatal"),
+        last("model").alias("model"), F.from_json(last("limits"), "map<string,double>").alias("limits"),
+    )
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

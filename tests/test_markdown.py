@@ -17,6 +17,9 @@ def test_markdown(spark):
     assert one(spark, M.normal_page, "```md\n# T\n\n\n\nx\n```") == "### T\n\nx"
     assert one(spark, M.balanced_divs, "::: a\nx\n::: b\n:::") == "::: a\nx\n::: b\n:::\n:::"
     assert one(spark, M.div_balance, ":::\nx").stray == 1
+    assert one(spark, M.balanced_divs, ":::\nx\n::: a\n:::\n:::") == "x\n::: a\n:::"
+    code = "```\n::: a\n:::\n~~~\n:::\n```\n$$\n:::\n$$\n$$ x $$\n::: b"
+    assert one(spark, M.balanced_divs, code) == code + "\n:::"
     assert one(spark, M.clean_markdown, "##### a<br>b x<sup>2</sup> <i>c</i>") == "###### a\nb x^2^ c"
     assert one(spark, M.title_fragments, "О $x$ и «у»") == ["О", "и", "у"]
     assert one(spark, lambda c: M.tex_math(c, True), r"\begin{align*}x\label{a}\end{align*}") == r"\begin{aligned}x\end{aligned}"

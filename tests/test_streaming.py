@@ -27,7 +27,11 @@ def test_exactly_once_and_resume(spark, tmp_path):
 
 
 def test_stream_state(spark):
-    lines = ['{"session": "a", "type": "message", "model": "m"}', "broken", '{"session": "a", "type": "rate_limit"}', '{"session": "b", "type": "error"}']
+    """The last line that names a model, or limits, decides, not the greatest name."""
+    lines = [
+        '{"session": "a", "seq": 1, "type": "message", "model": "z"}', "broken", '{"session": "a", "seq": 4, "type": "rate_limit", "limits": {"five_hour": 0.9}}',
+        '{"session": "a", "seq": 3, "type": "message", "model": "m", "limits": {"five_hour": 0.5}}', '{"session": "b", "type": "error"}',
+    ]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
-    got = {r.session: (r.lines, r.retries, r.fatal, r.model) for r in U.stream_state(U.parsed(df)).collect()}
-    assert got == {"a": (2, 1, False, "m"), "b": (1, 0, True, None)}
+    got = {r.session: (r.lines, r.retries, r.fatal, r.model, r.limits) for r in U.stream_state(U.parsed(df)).collect()}
+    assert got == {"a": (3, 1, False, "m", {"five_hour": 0.9}), "b": (1, 0, True, None, None)}

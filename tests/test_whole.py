@@ -3,6 +3,8 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from selvage.plans import registry
 from selvage.tables import table
 
@@ -11,12 +13,19 @@ SF = "/root/testdata/sf0.01"
 
 def test_kept_groups_and_natural_order(spark):
     orders = sorted(table(spark, SF, "orders").select("o_orderkey", "o_totalprice").collect())
-    groups = {}
-    for pos, (_, price) in enumerate(orders, 1):
-        groups.setdefault(pos // 3, []).append((pos, math.floor(price / 1000)))
-    want = [(g, m[0][0], m[-1][0], len(m), sum(z for _, z in m)) for g, m in groups.items() if all(p % 17 for p, _ in m) and (len(m) == 1 or sum(z for _, z in m) <= 400)]
+    size = {pos: math.floor(price / 1000) for pos, (_, price) in enumerate(orders, 1)}
+    groups, late = {}, {}
+    for pos in size:
+        groups.setdefault(pos // 3, []).append(pos)
+        late.setdefault(10**12 + (pos + 1) // 3, []).append(pos)
+    fits = lambda m: len(m) == 1 or sum(size[p] for p in m) <= 400
+    want, taken = [], set()
+    for g, m in [(g, m) for g, m in groups.items() if all(p % 17 for p in m)] + list(late.items()):
+        if fits(m) and not taken & set(m):
+            taken |= set(m)
+            want.append((g, m[0], m[-1], len(m), sum(size[p] for p in m)))
     got = registry.QUERIES["kept_groups"](spark, SF).collect()
-    assert sorted((r.grp, r["first"], r["last"], r.n, r.z) for r in got) == want
+    assert sorted((r.grp, r["first"], r["last"], r.n, r.z) for r in got) == sorted(want)
     keys = sorted(r[0] for r in table(spark, SF, "customer").select("c_custkey").collect())
     assert sorted(map(tuple, registry.QUERIES["natural_order"](spark, SF).collect())) == list(zip(keys, range(1, len(keys) + 1), strict=True))
 
@@ -59,3 +68,35 @@ def test_last_of_several_labels_wins(spark, tmp_path):
     data = [(1, 0, 0), (2, 1, 0), (1, 1, 1), (3, None, 1), (1, 0, 1), (3, 1, None)]
     spark.createDataFrame(data, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(map(tuple, registry.QUERIES["last_verdicts"](spark, str(tmp_path)).collect())) == [(1, 0, 1), (2, 1, 0), (3, 1, None)]
+
+
+def test_rejected_groups_claim_nothing(spark):
+    """Overlapping groups in turn: what was rejected or comes later takes no place."""
+    from selvage.operators import packing
+
+    items = spark.createDataFrame([(i, i, 1) for i in range(1, 3000)], "id int, pos int, size int")
+    groups = [(2, 4), (4, 6), (5, 8), (12, 13), (9, 11), (1, 1), (1020, 1030), (1025, 1026), (1023, 1024), (2500, 2510), (2511, 2512)]
+    prev = spark.createDataFrame([(g, k, p) for g, (a, b) in enumerate(groups) for k, p in enumerate(range(a, b + 1))], "grp int, ord int, id int")
+    want, taken = [], set()
+    for g, (a, b) in enumerate(groups):
+        if not taken & set(range(a, b + 1)):
+            taken |= set(range(a, b + 1))
+            want.append(g)
+    assert sorted(r.grp for r in packing.kept_groups(items, prev, 100, 20).collect()) == want
+
+
+def test_roots_of_duplicates_are_transitive(spark):
+    """A chain of boards, each like the one before only, has one root."""
+    from selvage.operators import signals
+
+    frames = spark.createDataFrame([(1, i, i) for i in range(9)], "rec int, ord int, epoch int")
+    near = frames.alias("a")
+    assert near.count() == 9
+    monkey = signals.ink_distance
+    try:
+        signals.ink_distance = lambda a, b: F.abs(a - b).cast("double") / 10
+        boards = frames.withColumn("ink", F.col("ord"))
+        got = {r.ord: (r.dup, r.root) for r in signals.earlier_duplicates(boards, 0.1).collect()}
+    finally:
+        signals.ink_distance = monkey
+    assert got == {i: (i - 1, 0) for i in range(1, 9)}
