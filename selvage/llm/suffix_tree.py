@@ -41,6 +41,8 @@ DEPTH = 8
 GAIN, RATIO = 2.0, 0.05
 #: Smoothing masses to choose from.
 MASSES = (1.0, 16.0, 256.0)
+#: Each bucket's share of a test is sent in whole steps of 1 / STEPS nats, whose sum does not depend on any order.
+STEPS = 16
 #: Training occurrences of a context at least: below two nothing can be left out.
 LEAST = 2
 END = U(0x8F1BBCDCBFA53E0B)
@@ -157,7 +159,8 @@ class Bucket:
         count = np.zeros(contexts, np.int64)
         count[of] = self.n
         c, n, p, of = c[again], self.n[again], self.p[again], of[again]
-        gain = [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts).astype(np.float32) for m in MASSES]
+        gain = [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts) for m in MASSES]
+        gain = [np.rint(g * STEPS).astype(np.int64) for g in gain]
         return [x[ask] for x in (count, np.bincount(of, minlength=contexts).astype(np.uint32), *gain)]
 
     def open(self, c: np.ndarray, of: np.ndarray, contexts: int) -> np.ndarray:
@@ -214,12 +217,12 @@ def _counts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _states(keys: np.ndarray, n: np.ndarray, again: np.ndarray, *gains: np.ndarray) -> np.ndarray:
-    """Number of the best mass of each context that passes, else 0; entries come in the order of buckets, so reruns agree."""
+    """Number of the best mass of each context that passes, else 0."""
     group, size = X.groups(keys)
     count = np.zeros(len(size))
     count[group] = n
     once = count - np.bincount(group, weights=again, minlength=len(size))
-    total = np.stack([np.bincount(group, weights=g.astype(np.float64), minlength=len(size)) + once * (np.log(m / (count - 1 + m)) - RATIO) for g, m in zip(gains, MASSES, strict=True)])
+    total = np.stack([np.bincount(group, weights=g, minlength=len(size)) / STEPS + once * (np.log(m / (count - 1 + m)) - RATIO) for g, m in zip(gains, MASSES, strict=True)])
     return np.where(total.max(axis=0) > GAIN, total.argmax(axis=0) + 1, 0).astype(np.uint8)[group]
 
 
@@ -298,7 +301,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
                 b.settled(c, mass[of], depth)
             return b.row(no)
 
-        kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", "i8", "u4", *("f4" for _ in MASSES)), _states), "states")
+        kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", "i8", "u4", *("i8" for _ in MASSES)), _states), "states")
         both = grams.unionByName(kept.withColumn("part", F.col("part") + F.lit(parts)))
         state, old = cut(told(state, both, settle, STATE, n, v), "tree"), (state, grams, kept)
         release(*old)

@@ -60,7 +60,9 @@ def _suffix_tree(data, depth):
             follow[g[:-1]].append((g[-1], z))
         for c in level:
             z = count[k][c]
-            gain = [sum(y * (math.log((y - 1 + m * prob(c[1:], x)) / ((z - 1 + m) * prob(c[1:], x))) - T.RATIO) for x, y in follow[c]) for m in T.MASSES]
+            of = lambda x, y, m, c=c, z=z: y * (math.log((y - 1 + m * prob(c[1:], x)) / ((z - 1 + m) * prob(c[1:], x))) - T.RATIO)
+            # followers that occur twice or more are sent in steps (these texts are one bucket)
+            gain = [round(sum(of(x, y, m) for x, y in follow[c] if y > 1) * T.STEPS) / T.STEPS + sum(of(x, y, m) for x, y in follow[c] if y == 1) for m in T.MASSES]
             assert abs(max(gain) - T.GAIN) > 1e-4
             if max(gain) > T.GAIN:
                 mass[c] = T.MASSES[gain.index(max(gain))]
