@@ -131,14 +131,6 @@ def test_measures(spark):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
 
 
-def test_windows_of_one_run(spark, monkeypatch):
-    """Equal windows with others of the same key between them are found: here all keys have the same hash part."""
-    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: quality_rules.F.lit(0).cast("long"))
-    texts = ["a b c x a b c", "a b c d e f g h a b c", "a b c d e f g h i", "p q r s t u p q r v w x s t u"]
-    got = [r.n_repeat_words for r in quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
-    assert got == [6, 6, 0, 12]
-
-
 def test_weak_supervision(spark):
     """EM recovers planted accuracies; the native posterior is the model's; labels agree."""
     rng = np.random.default_rng(1)
