@@ -10,7 +10,7 @@ written to the shared folder, and the votes are read from there.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +28,48 @@ STOP_WORDS = (
     "der die das und ist ein zu den mit von "
     "el los las y se del por con"
 ).split()
+
+
+def _window_key(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and, as long, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop, n_upper.
 
     n_repeat_words counts words in 3-word windows found twice or more in the text, first included.
     Window keys hold a part of a 64-bit hash above the window's position; sorted, repeats are
-    neighbours, which are compared word by word.  Null text has no words, lines or symbols.
+    neighbours, which are compared word by word.  Texts in which unequal windows of one key stand
+    side by side are sorted by the words of their windows instead, so the count is exact at any
+    length.  Null text has no words, lines or symbols.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     n = F.size("w")
     # positions take 21 bits of the key, or 31 in texts beyond two million words
     rows = rows.withColumn("w", words(F.col("t"))).withColumn("b", F.when(n <= 1 << 21, 21).otherwise(31))
-    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    window = lambda i: _window_key(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     up, down = (lambda f: lambda c: F.call_function(f, c, F.col("b")))("shiftleft"), (lambda f: lambda c: F.call_function(f, c, F.col("b")))("shiftright")
     key = F.transform(F.sequence(F.lit(0), n - 3), lambda i: up(window(i)).bitwiseOR(i.cast("long")))
     rows = rows.withColumn("k", F.when(n >= 4, F.sort_array(key)).otherwise(F.array().cast("array<bigint>")))
     at = lambda k: k.bitwiseAND(up(F.lit(1).cast("long")) - 1).cast("int")
 
-    def twin(k: Column, other: Column) -> Column:
-        same = down(k) == down(other)
-        for d in range(3):
-            same = same & (F.get("w", at(k) + d) == F.get("w", at(other) + d))
-        return F.coalesce(same, F.lit(False))
+    def words_equal(k: Column, other: Column) -> Column:
+        return (F.get("w", at(k)) == F.get("w", at(other))) & (F.get("w", at(k) + 1) == F.get("w", at(other) + 1)) & (F.get("w", at(k) + 2) == F.get("w", at(other) + 2))
 
-    again = F.filter("k", lambda k, i: twin(k, F.get("k", i + 1)) | twin(k, F.get("k", i - 1)))
-    rows = rows.withColumn("r", F.sort_array(F.transform(again, at))).withColumn("l", F.filter(F.split("t", "\n"), lambda s: F.rlike(s, F.lit(WORD))))
+    def twin(k: Column, other: Column) -> Column:
+        return F.coalesce((down(k) == down(other)) & words_equal(k, other), F.lit(False))
+
+    def beside(windows: str, same: Callable[[Column, Column], Column]) -> Column:
+        return F.filter(windows, lambda x, i: same(x, F.get(windows, i + 1)) | same(x, F.get(windows, i - 1)))
+
+    foreign = lambda k, i: F.coalesce((down(k) == down(F.get("k", i + 1))) & ~words_equal(k, F.get("k", i + 1)), F.lit(False))
+    mixed = F.size(F.filter("k", foreign)) > 0
+    spelled = F.transform("k", lambda k: F.struct(F.get("w", at(k)).alias("a"), F.get("w", at(k) + 1).alias("b"), F.get("w", at(k) + 2).alias("c"), at(k).alias("at")))
+    rows = rows.withColumn("s", F.when(mixed, F.sort_array(spelled)))
+    equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    places = F.when(F.col("s").isNull(), F.transform(beside("k", twin), at)).otherwise(F.transform(beside("s", equal), lambda x: x["at"]))
+    rows = rows.withColumn("r", F.sort_array(places)).withColumn("l", F.filter(F.split("t", "\n"), lambda s: F.rlike(s, F.lit(WORD))))
     step = lambda i: F.least(F.coalesce(F.get("r", i) - F.get("r", i - 1), F.lit(3)), F.lit(3))
     covered = F.aggregate(F.sequence(F.lit(1), F.size("r")), F.lit(0), lambda acc, i: acc + step(i))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern))

@@ -131,6 +131,22 @@ def test_measures(spark):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
 
 
+@pytest.mark.parametrize("n_keys", [1, 2, 7])
+def test_measures_with_equal_keys(spark, monkeypatch, n_keys):
+    """Unequal windows that share a key, also between equal ones, change no count."""
+    rng = random.Random(n_keys)
+    texts = [" ".join(rng.choices("abc", k=n)) for n in (0, 1, 2, 3, 4, 5, 9, 20, 40)] + ["a b c x y a b c", "a a a a", "p q r s t u v w"]
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        want[i] = len({k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)})
+    whole = quality_rules._window_key
+    monkeypatch.setattr(quality_rules, "_window_key", lambda *w: F.pmod(whole(*w), F.lit(n_keys)))
+    got = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == want
+
+
 def test_weak_supervision(spark):
     """EM recovers planted accuracies; the native posterior is the model's; labels agree."""
     rng = np.random.default_rng(1)
