@@ -184,3 +184,13 @@ def preserved(old: DataFrame, new: DataFrame) -> DataFrame:
     out = j.where("n IS NULL").select("id", F.lit("removed").alias("problem"))
     out = out.union(common.where("NOT o <=> n").select("id", F.lit("changed")))
     return out.union(rank.where("r1 <> r2").select("id", F.lit("moved")))
+
+
+def without_admin(blocks: DataFrame) -> DataFrame:
+    """Blocks that count: all but those of type 'admin'; a block without a type counts."""
+    return blocks.where(F.coalesce(F.col("type") != "admin", F.lit(True)))
+
+
+def section_sizes(assigned: DataFrame, blocks: DataFrame, text: str = "text") -> DataFrame:
+    """(section, size): characters of the blocks (id, text) of each section (section, block)."""
+    return assigned.join(blocks.select(F.col("id").alias("block"), text), "block").groupBy("section").agg(F.sum(F.length(text)).alias("size"))
