@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from selvage.plans import coverage, documents, extras, ledger, marks, requests, rules, timeline  # noqa: E402,F401
+from selvage.plans import coverage, documents, extras, ledger, marks, records, requests, rules, texts, timeline  # noqa: E402,F401

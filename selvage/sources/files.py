@@ -135,7 +135,9 @@ def json_message(c: Column) -> Column:
     """A2: the JSON object of a message: inside a fence, else between the outermost braces; null if it does not parse."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(c, r"(?s)(\{.*\})", 1))
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    # the parser stops behind the first value; in a list, whatever follows shows
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    return F.when(whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), body)
 
 
 def limit_rows(records: DataFrame, key: str, payload: str) -> DataFrame:
