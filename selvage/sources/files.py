@@ -137,7 +137,7 @@ def json_message(c: Column) -> Column:
     body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(c, r"(?s)(\{.*\})", 1))
     # the parser stops behind the first value; in a list, whatever follows shows
     whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    return F.when(whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), body)
+    return F.when((body != "") & whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), body)
 
 
 def limit_rows(records: DataFrame, key: str, payload: str) -> DataFrame:
