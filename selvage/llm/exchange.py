@@ -125,8 +125,11 @@ def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] =
     return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array(no, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray]) -> DataFrame:
-    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range, in the order of buckets, gives an aligned array."""
+def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray], numbered: bool = False) -> DataFrame:
+    """Answer each entry: ``answer(keys, *cols)`` over all entries of a range, in the order of buckets, gives an aligned array.
+
+    ``numbered``: each entry also gets the number of its key among the range's distinct keys, sent as differences.
+    """
     kinds = [np.dtype(d) for d in dtypes]
 
     def reply(t: pa.Table) -> pa.Table:
@@ -137,10 +140,10 @@ def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.nd
             g[0] = np.cumsum(g[0], dtype=g[0].dtype)
         cols = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
         del got
-        out = answer(*cols)
+        out, number = answer(*cols), groups(cols[0])[0] if numbered else None
         del cols
         ends = np.cumsum([0, *sizes])
-        data = [coded([out[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        data = [coded([out[a:b]] if number is None else [out[a:b], np.diff(number[a:b], prepend=0).astype(np.uint32)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"bucket": t["bucket"].cast(pa.int32()), "part": t["part"].cast(pa.int32()), "data": pa.array(data, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(reply, ANSWER)
@@ -153,6 +156,18 @@ def received(t: pa.Table, dtype: str, lo: int = 0, hi: int = 1 << 31) -> np.ndar
     return np.concatenate([np.zeros(0, kind), *(decoded(t["data"][i].as_py(), [kind])[0] for _, i in rows)])
 
 
+def numbers(t: pa.Table, dtype: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbered answers of a bucket in the order of its sorted keys, and a number of each key that is its own
+    in the whole corpus: consecutive in its range, and the ranges take turns."""
+    kinds = [np.dtype(dtype), np.dtype("u4")]
+    values, own = [np.zeros(0, kinds[0])], [np.zeros(0, U)]
+    for part, i in sorted((p, i) for i, p in enumerate(t["part"].to_pylist())):
+        value, step = decoded(t["data"][i].as_py(), kinds)
+        values.append(value)
+        own.append(np.cumsum(step, dtype=U) * U(parts) + U(part))
+    return np.concatenate(values), np.concatenate(own)
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each entry by equal key, and the group sizes."""
     _, inverse, size = np.unique(keys, return_inverse=True, return_counts=True)

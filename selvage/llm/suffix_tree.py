@@ -60,17 +60,20 @@ class Bucket:
     """The documents of a bucket, and their tokens that are not settled yet.
 
     Arrays kept between jobs.  Of each document: ``id``, ``null``, ``size`` (tokens) and, once words are
-    counted, ``known``, ``base`` and the ``score`` so far.  The distinct token hashes ``keys``, in the order of
-    local frequency, so that the numbers of frequent words are small, and their training ``count``; the
-    token numbers ``token``.  From the second level on ``token`` holds only what unsettled tokens and their
-    contexts need, and of each unsettled token there is its position ``at``, its document ``doc``, the
-    training count ``n`` of the context and the suffix state's probability ``p`` (on the second level as
-    the integers that it follows from: count ``c`` of the pair, and ``mass``).
+    counted, ``known``, ``base`` and the ``score`` so far.  The distinct tokens ``keys`` in the order of local
+    frequency, so that the places of frequent ones are small: hashes, and once words are counted their
+    numbers in the corpus, whose differences take far less room; their training ``count``; and the places
+    ``token``.  From the second level on ``token`` holds only what unsettled tokens and their contexts need,
+    and of each unsettled token there is its position ``at``, its document ``doc``, the training count
+    ``n`` of the context and the suffix state's probability ``p`` (on the second level as the integers that
+    it follows from: count ``c`` of the pair, and ``mass``; ``n`` is then the count of the pair before,
+    so only what differs from that is kept).
     """
 
     def __init__(self, arrays: dict[str, np.ndarray], total: int = 0, distinct: int = 0) -> None:
         self.kept = arrays
         self.size, self.keys, self.token = arrays["size"], np.cumsum(arrays["keys"], dtype=U), arrays["token"]
+        self.hash = mix(self.keys + U(1))
         self.ids = [None if x else int(i) for i, x in zip(arrays["id"], arrays["null"], strict=True)]
         self.held = np.array([held_out(i) for i in self.ids], bool)
         self.total, self.distinct = total, distinct
@@ -80,6 +83,7 @@ class Bucket:
             if "p" in arrays:
                 self.p = arrays["p"].astype(np.float64)
             else:
+                self.n = self.n + self.pairs_before(arrays["c"])
                 m = np.array(MASSES)[arrays["mass"]]
                 self.p = (arrays["c"] + m * self.base(self.at)) / (arrays["count"][self.token[self.at - 1]] + m)
         elif "count" in arrays:
@@ -90,6 +94,13 @@ class Bucket:
             self.doc, self.n, self.p = owner[self.at], before[self.at], self.base(self.at)
         self.train = ~self.held[self.doc]
 
+    def pairs_before(self, c: np.ndarray) -> np.ndarray:
+        """Of each unsettled token the count of the pair that ends before it, where the token before is unsettled too; else 0."""
+        out = np.zeros(len(c), np.int64)
+        beside = (self.at[1:] == self.at[:-1] + 1) & (self.doc[1:] == self.doc[:-1])
+        out[1:][beside] = c[:-1][beside]
+        return out
+
     def owner(self) -> np.ndarray:
         """Document of each token, while all are there."""
         return np.repeat(np.arange(len(self.size)), self.size)
@@ -119,10 +130,10 @@ class Bucket:
 
     def grams(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n tokens that end at each position."""
-        out = self.keys[self.token[at]]
+        out = self.hash[self.token[at]]
         with np.errstate(over="ignore"):
             for k in range(1, n):
-                out = mix(out) + self.keys[self.token[at - k]] * U(0xA0761D6478BD642F + 2 * k)
+                out = mix(out) + self.hash[self.token[at - k]] * U(0xA0761D6478BD642F + 2 * k)
             return mix(out ^ U(n))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +141,20 @@ class Bucket:
         order = np.argsort(self.keys)
         return self.keys[order], np.bincount(self.token, weights=~self.held[self.owner()], minlength=len(self.keys)).astype(np.uint32)[order]
 
-    def counted(self, t: pa.Table) -> None:
-        """Take the words' counts; tokens without a context to test are settled at the base."""
-        count = np.empty(len(self.keys), np.int64)
-        count[np.argsort(self.keys)] = X.received(t, "i8") & (_FIRST - 1)
-        self.__init__({**self.kept, "count": count}, self.total, self.distinct)
+    def counted(self, t: pa.Table, parts: int) -> None:
+        """Take the words' counts and numbers; tokens without a context to test are settled at the base."""
+        by_hash, often = np.argsort(self.keys), np.bincount(self.token, minlength=len(self.keys))
+        count, number = X.numbers(t, "i8", parts)
+        order = np.lexsort((number, -often[by_hash]))
+        place = np.empty(len(order), np.uint32)
+        place[by_hash[order]] = np.arange(len(order), dtype=np.uint32)
+        self.__init__({**self.kept, "keys": np.diff(number[order], prepend=U(0)), "token": place[self.token], "count": count[order] & (_FIRST - 1)}, self.total, self.distinct)
         owner, log = self.owner(), np.log10(self.base())
         add = lambda at, x: np.bincount(owner[at], weights=x[at], minlength=len(self.size))
         done = np.ones(len(self.token), bool)
         done[self.at] = False
         every = slice(None)
-        self.kept |= {"score": add(done, log), "base": add(every, log), "known": add(every, count[self.token] > 0).astype(np.int64)}
+        self.kept |= {"score": add(done, log), "base": add(every, log), "known": add(every, self.kept["count"][self.token] > 0).astype(np.int64)}
 
     def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams of context and token, their local counts, and each position's number."""
@@ -191,6 +205,8 @@ class Bucket:
             "score": score, "keys": np.diff(self.keys[used], prepend=U(0)), "count": self.kept["count"][used], "token": (np.cumsum(used) - 1)[token].astype(np.uint32),
             "at": np.diff(self.at, prepend=0).astype(np.uint32), "doc": np.diff(self.doc, prepend=0).astype(np.uint32), "n": self.n,
         }
+        if first:
+            self.kept["n"] = self.n - self.pairs_before(c[deep])
         self.kept |= {"c": c[deep], "mass": (mass[deep] - 1).astype(np.uint8)} if first else {"p": self.p.astype(np.float32)}
 
     def result(self) -> pa.RecordBatch:
@@ -233,7 +249,7 @@ def _totals(answers: DataFrame) -> tuple[int, int]:
         n = v = 0
         for t in batches:
             for d in t.column("data").to_pylist():
-                x = X.decoded(d, [np.dtype("i8")])[0]
+                x = X.decoded(d, [np.dtype("i8"), np.dtype("u4")])[0]
                 first = x[x >= _FIRST] & (_FIRST - 1)
                 n, v = n + int(first.sum()), v + len(first)
         yield pa.record_batch({"n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
@@ -273,11 +289,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
 
         return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(one, schema)
 
-    words = cut(X.answered(each(state, Bucket.words), ("u8", "u4"), _word_counts), "words")
+    words = cut(X.answered(each(state, Bucket.words), ("u8", "u4"), _word_counts, numbered=True), "words")
     n, v = _totals(words)
 
     def start(b: Bucket, t: pa.Table, no: int) -> pa.Table:
-        b.counted(t)
+        b.counted(t, parts)
         return b.row(no)
 
     state, old = cut(told(state, words, start, STATE, n, v), "tree"), (state, words)

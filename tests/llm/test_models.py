@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from selvage.llm import chat, classifier, mixing, quality_rules, suffix_tree, token_counts, url_filter
+from selvage.llm import chat, classifier, exchange, mixing, quality_rules, suffix_tree, token_counts, url_filter
 from selvage.llm import queries as Q
 from selvage.llm.tokenizer import encoding
 from selvage.tables import table
@@ -103,7 +103,7 @@ def test_suffix_tree_edges(spark):
 
 
 def test_suffix_tree_tells_grams_apart(spark):
-    """Two pairs whose hashes share the range (of four) and the low half: a rare one must not take the counts of a frequent one."""
+    """Two pairs whose words' hashes share the range (of four) and the low half: a rare one must not take the counts of a frequent one."""
     a, b, c, d = "w85588", "w85589", "w713449", "w713450"
 
     def scores(last):
@@ -113,6 +113,19 @@ def test_suffix_tree_tells_grams_apart(spark):
     assert scores(d) == scores("other")  # a name does not matter
 
 
+def test_suffix_tree_over_buckets(spark, monkeypatch):
+    """Dealt to many buckets and ranges, texts score as in one; only steps of the tests' shares may differ."""
+    docs = table(spark, SF, "documents")
+    one = {r.doc_id: r for r in suffix_tree.scored(docs).collect()}
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 40_000)
+    assert exchange.widths(docs, "text") > 4
+    many = {r.doc_id: r for r in suffix_tree.scored(docs).collect()}
+    assert set(one) == set(many)
+    for i, a in one.items():
+        assert a[1:5] == many[i][1:5] and abs(a.base_score - many[i].base_score) < 1e-6
+    assert abs(sum(r.score for r in one.values()) / sum(r.score for r in many.values()) - 1) < 1e-3
+
+
 def test_suffix_tree_beats_base_on_held_out(spark):
     r = suffix_tree.scored(table(spark, SF, "documents")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
