@@ -61,3 +61,18 @@ f AS (SELECT page_id, max_by(struct_pack(rule := h || r.p, verdict := verdict),
       FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
 SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
 """
+
+_CONTROL = r"<\|(?:turn|sep|end|im_start|im_end|endoftext)\|>|</?s>|<</?SYS>>|\[/?INST\]"
+_ESCAPED = r"length({0}) + length({0}) - length(replace({0}, '\', '')) + 2 * len(regexp_extract_all({0}, '" + _CONTROL + "'))"
+
+# the turns themselves, not what the template made of them; of the template only its size: 22 characters a turn, and the escapes
+ORACLES["op8_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(22 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -306,6 +307,20 @@ def test_chat(spark):
     assert chat.digests(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_chat_twin(spark):
+    """The SQL twin on control strings of every kind, backslashes, nulls, ties and repeats."""
+    kinds = [*chat.CONTROL, "<<s>", "\\</s>", "[[INST]\\\\", "<</SYS>><|end|", "é🙂\n", "", None]
+    data = [(c, t, role, f"{a}x{b}" if a is not None and b else a) for c, role in ((1, "user"), (2, "assistant"), (3, "<s>"), (4, None)) for t, (a, b) in enumerate(zip(kinds, kinds[3:] + kinds[:3], strict=True))]
+    data += [(5, None, "assistant", "b"), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, 1, "assistant", "a"), (None, 0, "user", "u"), (-1, 0, "user", Q.CONTROL_TEXT), (-1, 1, "assistant", Q.CONTROL_TEXT)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r for r in data if r[0] != -1])
+    want = con.execute(Q.ORACLES["op8_chat_format"])
+    names = [d[0] for d in want.description]
+    got = chat.digests(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert sorted((tuple(r[c] for c in names) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_token_counts(spark):
     data = rows()
     enc = encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
