@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selvage.llm.common import whole_ids
-from selvage.llm.kernel import Words, chunks
+from selvage.llm.kernel import Words, chunks, distinct
 
 U = np.uint64
 #: Items and characters of a shard at most, and shards of a pass: the bound of what is broadcast at a time.
@@ -46,6 +46,8 @@ K1, B = 1.2, 0.75
 SHINGLE = 3
 #: Sums of floats may fall short by so much.
 _SLACK = 1e-9
+#: Numbers of a table of places at most.
+_TABLE = 1 << 20
 #: A posting list of each term: limits by term, place (block or item), value.
 Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -143,22 +145,49 @@ def _postings(lists: Lists, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarr
     return np.repeat(row, n), place[at], value[at]
 
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order; a sort, which is faster here than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def _places(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Place of each number among the sorted ones, -1 for none: by a table where that is small."""
+    if not len(found):
+        return np.full(len(x), -1)
+    size = max(int(x.max(initial=0)), int(found[-1])) + 1
+    if size <= _TABLE:
+        table = np.full(size, -1)
+        table[found] = np.arange(len(found))
+        return table[x]
+    at = np.searchsorted(found, x)
+    at[at == len(found)] = 0
+    return np.where(found[at] == x, at, -1)
+
+
+def _rows_with(row: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which entries are of rows among the given ones."""
+    mark = np.zeros(int(row.max(initial=-1)) + 1, bool)
+    mark[found] = True
+    return mark[row]
+
+
 def _distinct(row: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, term) pairs."""
-    return np.divmod(np.unique(row * terms + term), max(terms, 1))
+    return np.divmod(_unique(row * terms + term), max(terms, 1))
 
 
 def _open(ix: Index, row: np.ndarray, term: np.ndarray, threshold: float, step: np.ndarray | None = None) -> np.ndarray:
     """Codes ``row * blocks + block``, sorted, of the blocks that a row may not skip (``step``: of each row, if it asks one step only)."""
     blocks = len(ix.step)
     r, b, _ = _postings(ix.ahead, row, term)
-    met = np.unique((r * blocks + b) if step is None else (r * blocks + b)[ix.step[b] == step[r]])
-    some = np.isin(row, met // max(blocks, 1))
+    met = _unique((r * blocks + b) if step is None else (r * blocks + b)[ix.step[b] == step[r]])
+    some = _rows_with(row, met // max(blocks, 1))
     r, b, v = _postings(ix.maxima, row[some], term[some])
-    code = r * blocks + b
-    at = np.searchsorted(met, code)
-    at[at == len(met)] = 0
-    fits = (met[at] == code) if len(met) else np.zeros(len(code), bool)
+    at = _places(r * blocks + b, met)
+    fits = at >= 0
     return met[np.bincount(at[fits], weights=v[fits], minlength=len(met)) >= threshold - _SLACK]
 
 
@@ -176,7 +205,7 @@ def search(ix: Index, w: Words, threshold: float, overlap: float) -> list[tuple[
     doc, block = np.divmod(_open(ix, *_distinct(owner, term, terms), threshold), blocks)
     asked = np.unique(np.stack((doc, ix.step[block]), axis=1), axis=0)
     best: dict[tuple[int, int], tuple] = {}
-    for step in np.unique(asked[:, 1]).tolist():
+    for step in _unique(asked[:, 1]).tolist():
         mine = np.zeros(len(w.first) - 1, bool)
         mine[asked[asked[:, 1] == step, 0]] = True
         pick = mine[owner]
@@ -185,13 +214,14 @@ def search(ix: Index, w: Words, threshold: float, overlap: float) -> list[tuple[
         slots = np.maximum(1, -(-w.count() // step) - 1)
         base = np.concatenate(([0], np.cumsum(slots)))
         slot = np.concatenate((base[o] + np.maximum(i - 1, 0), base[o] + np.minimum(i, slots[o] - 1)))
-        names, slot = np.unique(slot, return_inverse=True)
+        names, slot, _ = distinct(slot.view(U))
+        names = names.view(np.int64)
         row, t = _distinct(slot, np.concatenate((t, t)), terms)
         opened = _open(ix, row, t, threshold, np.full(len(names), step))
-        some = np.isin(row, opened // blocks)
+        some = _rows_with(row, opened // blocks)
         r, it, v = _postings(ix.impacts, row[some], t[some])
-        fits = np.isin(r * blocks + ix.block[it], opened)
-        code, number = np.unique(r[fits] * items + it[fits], return_inverse=True)
+        fits = _places(r * blocks + ix.block[it], opened) >= 0
+        code, number, _ = distinct((r[fits] * items + it[fits]).view(U))
         score = np.bincount(number, weights=v[fits], minlength=len(code))
         have: dict[int, np.ndarray] = {}
         for c, s in zip(code[score >= threshold - _SLACK].tolist(), score[score >= threshold - _SLACK].tolist(), strict=True):

@@ -31,15 +31,67 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _P_BYTE, _P_WORD, _P_CHECK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 #: Bytes hashed at a time.
 _STEP = 1 << 19
+#: Numbers mixed at a time.
+_PIECE = 1 << 14
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
+    out = np.empty(len(x), U)
+    spare = np.empty(min(len(x), _PIECE), U)
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+        for a in range(0, len(x), _PIECE):  # the work arrays stay in the cache
+            y, z = out[a : a + _PIECE], spare[: min(_PIECE, len(x) - a)]
+            np.right_shift(x[a : a + _PIECE], U(30), out=z)
+            np.bitwise_xor(x[a : a + _PIECE], z, out=y)
+            y *= U(0xBF58476D1CE4E5B9)
+            np.right_shift(y, U(27), out=z)
+            y ^= z
+            y *= U(0x94D049BB133111EB)
+            np.right_shift(y, U(31), out=z)
+            y ^= z
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct unsigned keys in order, the number of each entry's key among them, and how often each occurs.
+
+    Sorting whole words is several times as fast as sorting places by key, so high bits of the key and the
+    place are sorted as one word; where keys differ only in the bits left out, places are sorted by key.
+    """
+    number, ranked, first = _ranks(keys)
+    return ranked[first], number, np.diff(first, append=len(keys))
+
+
+def numbers(keys: np.ndarray) -> np.ndarray:
+    """The number of each entry's key among the distinct ones in order (see :func:`distinct`)."""
+    return _ranks(keys)[0]
+
+
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each entry's key, all keys in order, and where each distinct one starts."""
+    n = len(keys)
+    low = (U(1) << U(max(1, (n - 1).bit_length()))) - U(1)
+    order = keys.astype(U)
+    order <<= U(64 - max(1, int(keys.max(initial=0)).bit_length()))
+    order &= ~low
+    order |= np.arange(n, dtype=U)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    ranked = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    new[:1] = False
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new)
+    return number, ranked, first
 
 
 def _powers(p: int, n: int) -> tuple[np.ndarray, np.ndarray]:
