@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selvage.llm.common import whole_ids
+from selvage.llm.kernel import distinct
 
 U = np.uint64
 #: Bytes of text for each bucket, and of payload for each row between a bucket and a range, at least.
@@ -76,21 +77,78 @@ def bucket_of(t: pa.Table) -> int:
 # -- coding --------------------------------------------------------------------------------------
 
 
+def _planes(cols: Sequence[np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """Byte planes of aligned arrays, lowest first, without those that are zero throughout (signed numbers by turns: 0, -1, 1, ...), and each array's number of them."""
+    wide, parts = [], []
+    for c in cols:
+        size = c.dtype.itemsize
+        if c.dtype.kind == "i" and size > 1:
+            c = ((c << 1) ^ (c >> (8 * size - 1))).view(f"u{size}")
+        if c.dtype.kind in "iu" and size > 1:
+            size = max(1, -(-int(c.max(initial=0)).bit_length() // 8))
+        wide.append(size)
+        parts.append(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize)[:, :size])
+    out, at = np.empty((sum(wide), len(cols[0])), np.uint8), 0
+    for size, part in zip(wide, parts, strict=True):
+        for k in range(size):
+            out[at + k] = part[:, k]
+        at += size
+    return bytes(wide), out
+
+
+def coded_runs(cols: Sequence[np.ndarray], ends: Sequence[int]) -> list[bytes]:
+    """Aligned arrays as bytes, one piece for each run between neighbouring ``ends``: by byte plane, so that high bytes, mostly alike, take no room."""
+    (wide, planes), codec = _planes(cols), pa.Codec("zstd", compression_level=1)
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        raw = np.ascontiguousarray(planes[:, a:b])
+        out.append(struct.pack("<Q", raw.size) + wide + codec.compress(raw, asbytes=True))
+    return out
+
+
 def coded(cols: Sequence[np.ndarray]) -> bytes:
-    """Aligned arrays as bytes: each by byte plane, so that high bytes, mostly alike, take no room."""
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in cols)
-    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    """Aligned arrays as bytes."""
+    return coded_runs(cols, [0, len(cols[0])])[0]
+
+
+def decoded_runs(data: Sequence[bytes], kinds: Sequence[np.dtype]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of some pieces of :func:`coded_runs`, end to end, and the limits of the pieces."""
+    codec, got, k = pa.Codec("zstd"), [], len(kinds)
+    for d in data:
+        wide = d[8 : 8 + k]
+        raw = np.frombuffer(codec.decompress(memoryview(d)[8 + k :], struct.unpack_from("<Q", d)[0]), np.uint8)
+        got.append((wide, raw.reshape(sum(wide), -1)))
+    ends = np.cumsum([0, *(m.shape[1] for _, m in got)])
+    limits, at, out = ends.tolist(), [0] * len(got), []
+    for i, kind in enumerate(kinds):
+        wide = [w[i] for w, _ in got]
+        size = 1 << (max(wide, default=1) - 1).bit_length() if kind.kind in "iu" else kind.itemsize
+        raw = (np.empty if min(wide, default=1) == size else np.zeros)((limits[-1], size), np.uint8)
+        for j, (_, m) in enumerate(got):
+            own, m = raw[limits[j] : limits[j + 1]], m[at[j] : at[j] + wide[j]]
+            if len(own) < 400:  # one call is faster for few rows, one a plane for many
+                own[:, : wide[j]] = m.T
+            else:
+                for p in range(wide[j]):
+                    own[:, p] = m[p]
+            at[j] += wide[j]
+        if kind.kind not in "iu" or kind.itemsize == 1:
+            out.append(raw.view(kind).ravel())
+            continue
+        x = raw.view(f"u{size}").ravel().astype(f"u{kind.itemsize}", copy=False)
+        out.append(((x >> 1) ^ (~(x & 1) + 1)).view(kind) if kind.kind == "i" else x)
+    return out, ends
 
 
 def decoded(data: bytes, kinds: Sequence[np.dtype]) -> list[np.ndarray]:
     """The arrays of :func:`coded`."""
-    size = struct.unpack_from("<Q", data)[0]
-    raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], size), np.uint8)
-    n, at, out = size // sum(k.itemsize for k in kinds), 0, []
-    for k in kinds:
-        out.append(np.ascontiguousarray(raw[at : at + n * k.itemsize].reshape(k.itemsize, n).T).view(k).ravel())
-        at += n * k.itemsize
-    return out
+    return decoded_runs([data], kinds)[0]
+
+
+def _summed(step: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Running sums of unsigned numbers, from the start of each run anew."""
+    total = np.cumsum(step, dtype=step.dtype)
+    return total - np.repeat(np.concatenate((np.zeros(1, step.dtype), total))[ends[:-1]], np.diff(ends))
 
 
 def freeze(arrays: dict[str, np.ndarray]) -> bytes:
@@ -98,8 +156,8 @@ def freeze(arrays: dict[str, np.ndarray]) -> bytes:
     return pickle.dumps({k: (a.dtype.str, coded([a])) for k, a in arrays.items()})
 
 
-def thaw(data: bytes) -> dict[str, np.ndarray]:
-    return {k: decoded(b, [np.dtype(d)])[0] for k, (d, b) in pickle.loads(data).items()}  # noqa: S301 - written by freeze
+def thaw(data: bytes, without: Sequence[str] = ()) -> dict[str, np.ndarray]:
+    return {k: decoded(b, [np.dtype(d)])[0] for k, (d, b) in pickle.loads(data).items() if k not in without}  # noqa: S301 - written by freeze
 
 
 # -- messages ------------------------------------------------------------------------------------
@@ -120,9 +178,9 @@ def pack(bucket: int, parts: int, keys: np.ndarray, cols: Sequence[np.ndarray] =
     step[1:] -= body[:-1]
     first = at[:-1][at[:-1] < at[1:]]
     step[first] = body[first]
-    no = [r for r in range(parts) if at[r] < at[r + 1]]
-    data = [coded([c[at[r] : at[r + 1]] for c in (step, *cols)]) for r in no]
-    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array(no, pa.int32()), "data": pa.array(data, pa.binary())})
+    no = np.flatnonzero(at[:-1] < at[1:])
+    data = coded_runs([step, *cols], [*at[no].tolist(), len(keys)])
+    return pa.table({"bucket": pa.array([bucket] * len(no), pa.int32()), "part": pa.array(no.astype(np.int32)), "data": pa.array(data, pa.binary())})
 
 
 def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.ndarray], numbered: bool = False) -> DataFrame:
@@ -134,16 +192,16 @@ def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.nd
 
     def reply(t: pa.Table) -> pa.Table:
         t = t.sort_by("bucket")
-        got = [decoded(d, kinds) for d in (x.as_py() for x in t["data"])]
-        sizes = [len(g[0]) for g in got]
-        for g in got:
-            g[0] = np.cumsum(g[0], dtype=g[0].dtype)
-        cols = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
-        del got
-        out, number = answer(*cols), groups(cols[0])[0] if numbered else None
+        cols, ends = decoded_runs(t["data"].to_pylist(), kinds)
+        cols[0] = _summed(cols[0], ends)
+        out = [answer(*cols)]
+        if numbered:
+            number = groups(cols[0])[0]
+            step = np.diff(number, prepend=0)
+            step[ends[:-1]] = number[ends[:-1]]
+            out.append(step.astype(np.uint32))
         del cols
-        ends = np.cumsum([0, *sizes])
-        data = [coded([out[a:b]] if number is None else [out[a:b], np.diff(number[a:b], prepend=0).astype(np.uint32)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        data = coded_runs(out, ends.tolist())
         return pa.table({"bucket": t["bucket"].cast(pa.int32()), "part": t["part"].cast(pa.int32()), "data": pa.array(data, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(reply, ANSWER)
@@ -151,24 +209,19 @@ def answered(sent: DataFrame, dtypes: Sequence[str], answer: Callable[..., np.nd
 
 def received(t: pa.Table, dtype: str, lo: int = 0, hi: int = 1 << 31) -> np.ndarray:
     """Answers of a bucket in the order of its sorted keys; parts ``lo`` to ``hi`` only."""
-    kind = np.dtype(dtype)
-    rows = sorted((p, i) for i, p in enumerate(t["part"].to_pylist()) if lo <= p < hi)
-    return np.concatenate([np.zeros(0, kind), *(decoded(t["data"][i].as_py(), [kind])[0] for _, i in rows)])
+    parts, data = t["part"].to_pylist(), t["data"].to_pylist()
+    return decoded_runs([data[i] for p, i in sorted((p, i) for i, p in enumerate(parts) if lo <= p < hi)], [np.dtype(dtype)])[0][0]
 
 
 def numbers(t: pa.Table, dtype: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbered answers of a bucket in the order of its sorted keys, and a number of each key that is its own
     in the whole corpus: consecutive in its range, and the ranges take turns."""
-    kinds = [np.dtype(dtype), np.dtype("u4")]
-    values, own = [np.zeros(0, kinds[0])], [np.zeros(0, U)]
-    for part, i in sorted((p, i) for i, p in enumerate(t["part"].to_pylist())):
-        value, step = decoded(t["data"][i].as_py(), kinds)
-        values.append(value)
-        own.append(np.cumsum(step, dtype=U) * U(parts) + U(part))
-    return np.concatenate(values), np.concatenate(own)
+    part, data = t["part"].to_pylist(), t["data"].to_pylist()
+    order = sorted(range(len(part)), key=part.__getitem__)
+    (value, step), ends = decoded_runs([data[i] for i in order], [np.dtype(dtype), np.dtype("u4")])
+    return value, _summed(step.astype(U), ends) * U(parts) + np.repeat(np.array(part, U)[order], np.diff(ends))
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each entry by equal key, and the group sizes."""
-    _, inverse, size = np.unique(keys, return_inverse=True, return_counts=True)
-    return inverse, size
+    return distinct(keys)[1:]

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selvage.llm import exchange as X
-from selvage.llm.kernel import Words, mix
+from selvage.llm.kernel import Words, distinct, mix, numbers
 from selvage.session import cut, release
 
 U = np.uint64
@@ -45,8 +46,12 @@ MASSES = (1.0, 16.0, 256.0)
 STEPS = 16
 #: Training occurrences of a context at least: below two nothing can be left out.
 LEAST = 2
+#: Hash ranges of a level at least, where there are so many buckets.
+LEAST_RANGES = 16
 END = U(0x8F1BBCDCBFA53E0B)
 _FIRST = np.int64(1) << np.int64(62)
+#: What a bucket keeps but does not ask by.
+LATER = ("n", "p", "c", "mass", "score", "base", "known")
 STATE = "bucket int, live bigint, data binary"
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -59,7 +64,7 @@ def held_out(doc_id: int | None) -> bool:
 class Bucket:
     """The documents of a bucket, and their tokens that are not settled yet.
 
-    Arrays kept between jobs.  Of each document: ``id``, ``null``, ``size`` (tokens) and, once words are
+    Arrays kept between jobs.  Of each document: ``id``, ``null``, ``held`` (held out), ``size`` (tokens) and, once words are
     counted, ``known``, ``base`` and the ``score`` so far.  The distinct tokens ``keys`` in the order of local
     frequency, so that the places of frequent ones are small: hashes, and once words are counted their
     numbers in the corpus, whose differences take far less room; their training ``count``; and the places
@@ -74,25 +79,34 @@ class Bucket:
         self.kept = arrays
         self.size, self.keys, self.token = arrays["size"], np.cumsum(arrays["keys"], dtype=U), arrays["token"]
         self.hash = mix(self.keys + U(1))
-        self.ids = [None if x else int(i) for i, x in zip(arrays["id"], arrays["null"], strict=True)]
-        self.held = np.array([held_out(i) for i in self.ids], bool)
+        self.held = arrays["held"].astype(bool)
         self.total, self.distinct = total, distinct
         self.at = self.doc = np.zeros(0, np.int64)
         if "at" in arrays:
-            self.at, self.doc, self.n = np.cumsum(arrays["at"], dtype=np.int64), np.cumsum(arrays["doc"], dtype=np.int64), arrays["n"]
-            if "p" in arrays:
-                self.p = arrays["p"].astype(np.float64)
-            else:
-                self.n = self.n + self.pairs_before(arrays["c"])
-                m = np.array(MASSES)[arrays["mass"]]
-                self.p = (arrays["c"] + m * self.base(self.at)) / (arrays["count"][self.token[self.at - 1]] + m)
+            self.at, self.doc = np.cumsum(arrays["at"], dtype=np.int64), np.cumsum(arrays["doc"], dtype=np.int64)
         elif "count" in arrays:
-            owner, count = self.owner(), arrays["count"][self.token]
-            inside = np.concatenate(([False], owner[1:] == owner[:-1]))[: len(owner)]
-            before = np.concatenate((count[:1], count[:-1]))
-            self.at = np.flatnonzero(inside & (before >= LEAST))
-            self.doc, self.n, self.p = owner[self.at], before[self.at], self.base(self.at)
-        self.train = ~self.held[self.doc]
+            owner, often = self.owner(), (arrays["count"] >= LEAST)[self.token]
+            self.at = np.flatnonzero((owner[1:] == owner[:-1]) & often[:-1]) + 1
+            self.doc = owner[self.at]
+
+    @cached_property
+    def train(self) -> np.ndarray:
+        return ~self.held[self.doc]
+
+    @cached_property
+    def n(self) -> np.ndarray:
+        if "at" not in self.kept:
+            return self.kept["count"][self.token[self.at - 1]]
+        return self.kept["n"] if "p" in self.kept else self.kept["n"] + self.pairs_before(self.kept["c"])
+
+    @cached_property
+    def p(self) -> np.ndarray:
+        if "at" not in self.kept:
+            return self.base(self.at)
+        if "p" in self.kept:
+            return self.kept["p"].astype(np.float64)
+        m = np.array(MASSES)[self.kept["mass"]]
+        return (self.kept["c"] + m * self.base(self.at)) / (self.kept["count"][self.token[self.at - 1]] + m)
 
     def pairs_before(self, c: np.ndarray) -> np.ndarray:
         """Of each unsettled token the count of the pair that ends before it, where the token before is unsettled too; else 0."""
@@ -115,26 +129,30 @@ class Bucket:
         is_word = np.ones(len(tokens), bool)
         is_word[np.cumsum(size) - 1] = False
         tokens[is_word] = w.hash
-        keys, token, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        keys, token, often = distinct(tokens)
         order = np.lexsort((keys, -often))
         place = np.empty(len(keys), np.uint32)
         place[order] = np.arange(len(keys), dtype=np.uint32)
-        return cls({"id": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids], np.uint8), "size": size.astype(np.int64), "keys": np.diff(keys[order], prepend=U(0)), "token": place[token]})
+        return cls({"id": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids], np.uint8), "held": np.array([held_out(i) for i in ids], np.uint8), "size": size.astype(np.int64), "keys": np.diff(keys[order], prepend=U(0)), "token": place[token]})
 
     def row(self, bucket: int) -> pa.Table:
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "live": pa.array([len(self.at)], pa.int64()), "data": pa.array([X.freeze(self.kept)], pa.binary())})
 
     def base(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Unigram probability of tokens."""
-        return (self.kept["count"][self.token[at]] + 1.0) / (self.total + self.distinct + 1.0)
+        return ((self.kept["count"] + 1.0) / (self.total + self.distinct + 1.0))[self.token[at]]
 
-    def grams(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n tokens that end at each position."""
-        out = self.hash[self.token[at]]
+    def grams(self, level: int, contexts: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Of each unsettled token the hash of its context of so many tokens and itself, and that of its context."""
+        word = self.hash[self.token]
+        place = mix(np.arange(1, level + 2, dtype=U)) | U(1)
         with np.errstate(over="ignore"):
-            for k in range(1, n):
-                out = mix(out) + self.hash[self.token[at - k]] * U(0xA0761D6478BD642F + 2 * k)
-            return mix(out ^ U(n))
+            before = np.full(len(word), U(level))
+            for k in range(1, level + 1):
+                before[k:] += word[:-k] * place[k]
+            word *= place[0]
+            word += before
+            return mix(word[self.at]), mix(before[self.at]) if contexts else None
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words in the order of their hashes, and their local counts."""
@@ -149,29 +167,43 @@ class Bucket:
         place = np.empty(len(order), np.uint32)
         place[by_hash[order]] = np.arange(len(order), dtype=np.uint32)
         self.__init__({**self.kept, "keys": np.diff(number[order], prepend=U(0)), "token": place[self.token], "count": count[order] & (_FIRST - 1)}, self.total, self.distinct)
-        owner, log = self.owner(), np.log10(self.base())
+        owner, log = self.owner(), np.log10((self.kept["count"] + 1.0) / (self.total + self.distinct + 1.0))[self.token]
         add = lambda at, x: np.bincount(owner[at], weights=x[at], minlength=len(self.size))
         done = np.ones(len(self.token), bool)
         done[self.at] = False
         every = slice(None)
-        self.kept |= {"score": add(done, log), "base": add(every, log), "known": add(every, self.kept["count"][self.token] > 0).astype(np.int64)}
-
-    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams of context and token, their local counts, and each position's number."""
-        keys, number = np.unique(self.grams(self.at, level + 1), return_inverse=True)
-        return keys, np.bincount(number, weights=self.train, minlength=len(keys)).astype(np.uint32), number
-
-    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.grams(self.at - 1, level), return_inverse=True)
-
-    def gains(self, c: np.ndarray, of: np.ndarray, contexts: int) -> list[np.ndarray]:
+        self.kept |= {"score": add(done, log), "base": add(every, log), "known": add(every, (self.kept["count"] > 0)[self.token]).astype(np.int64)}
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of context and token, and their local counts."""
+        keys, number, _ = distinct(self.grams(level, contexts=False)[0])
+        return keys, np.bincount(number, weights=self.train, minlength=len(keys)).astype(np.uint32)
+
+    def told(self, level: int, t: pa.Table, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unsettled token the training count of its n-gram (answers of parts below ``hi``) and the number of its context;
+        the distinct contexts, and which of them are tested."""
+        gram, before = self.grams(level, contexts=level > 1)
+        c = X.received(t, "i8", 0, hi)[numbers(gram)]
+        names, of = distinct(before)[:2] if level > 1 else self.single()
+        return c, of, names, self.open(c, of, len(names))
+
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts of one word and the number of each unsettled token's: words are numbered already."""
+        word = self.token[self.at - 1]
+        names = np.flatnonzero(np.bincount(word, minlength=len(self.keys)))
+        order = np.argsort(self.hash[names])
+        number = np.empty(len(self.keys), np.int64)
+        number[names[order]] = np.arange(len(names))
+        return self.hash[names[order]], number[word]
+
+    def gains(self, c: np.ndarray, of: np.ndarray, ask: np.ndarray) -> list[np.ndarray]:
         """What the training tokens add to the test of each context: its count, how many of its followers
         here occur twice or more behind it, and their gain for each smoothing mass.  What a follower that
         occurs once loses is known from the count, so contexts without repeated followers send no numbers."""
-        ask = self.open(c, of, contexts)
-        again = self.train & (c >= 2)
+        again, contexts = self.train & (c >= 2) & ask[of], len(ask)
         count = np.zeros(contexts, np.int64)
         count[of] = self.n
+        again = np.flatnonzero(again)
         c, n, p, of = c[again], self.n[again], self.p[again], of[again]
         gain = [np.bincount(of, weights=np.log((c - 1 + m * p) / ((n - 1 + m) * p)) - RATIO, minlength=contexts) for m in MASSES]
         gain = [np.rint(g * STEPS).astype(np.int64) for g in gain]
@@ -192,16 +224,21 @@ class Bucket:
         follows[1:] = (self.at[1:] == self.at[:-1] + 1) & (self.doc[1:] == self.doc[:-1])
         longer = np.concatenate((c[:1], c[:-1]))
         deep = follows & (mass > 0) & (longer >= LEAST)
-        score = self.kept["score"] + np.bincount(self.doc[~deep], weights=np.log10(p[~deep]), minlength=len(self.size))
+        done, deep = np.flatnonzero(~deep), np.flatnonzero(deep)
+        score = self.kept["score"] + np.bincount(self.doc[done], weights=np.log10(p[done]), minlength=len(self.size))
         first = "at" not in self.kept
         at, self.doc, self.n, self.p = self.at[deep], self.doc[deep], longer[deep].astype(np.int64), p[deep]
         # tokens that no unsettled one can have in a context go, and words that occur nowhere else
         need = np.zeros(len(self.token), bool)
-        for j in range(depth + 1):
-            need[at[at >= j] - j] = True
+        need[at] = True
+        reach = 0
+        while reach < depth:  # each step lets what is marked reach further back, as far again at most
+            step = min(reach + 1, depth - reach)
+            need[:-step] |= need[step:]
+            reach += step
         self.at, token = (np.cumsum(need) - 1)[at], self.token[need]
         used = np.bincount(token, minlength=len(self.keys)) > 0
-        self.kept = {k: self.kept[k] for k in ("id", "null", "size", "known", "base")} | {
+        self.kept = {k: self.kept[k] for k in ("id", "null", "held", "size", "known", "base")} | {
             "score": score, "keys": np.diff(self.keys[used], prepend=U(0)), "count": self.kept["count"][used], "token": (np.cumsum(used) - 1)[token].astype(np.uint32),
             "at": np.diff(self.at, prepend=0).astype(np.uint32), "doc": np.diff(self.doc, prepend=0).astype(np.uint32), "n": self.n,
         }
@@ -212,7 +249,7 @@ class Bucket:
     def result(self) -> pa.RecordBatch:
         """What is not settled at the greatest depth scores in the state that it has."""
         left = np.bincount(self.doc, weights=np.log10(self.p), minlength=len(self.size)) if len(self.at) else 0.0
-        cols = [pa.array(self.ids, pa.int64()), pa.array(self.held), pa.array(self.size), pa.array(self.kept["known"]), pa.array([self.total] * len(self.size), pa.int64()), pa.array(self.kept["base"]), pa.array(self.kept["score"] + left)]
+        cols = [pa.array(self.kept["id"], mask=self.kept["null"].astype(bool)), pa.array(self.held), pa.array(self.size), pa.array(self.kept["known"]), pa.array([self.total] * len(self.size), pa.int64()), pa.array(self.kept["base"]), pa.array(self.kept["score"] + left)]
         return pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -270,13 +307,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     texts = X.bucketed(docs, parts, id_col, text_col, by_text=True)
     state = cut(texts.groupBy("bucket").applyInArrow(lambda t: Bucket.read(t).row(X.bucket_of(t)), STATE), "tokens")
 
-    def each(state: DataFrame, send: Callable[[Bucket], tuple], total: int = 0, distinct: int = 0) -> DataFrame:
+    def each(state: DataFrame, send: Callable[[Bucket], tuple], parts: int, total: int = 0, distinct: int = 0) -> DataFrame:
         """Messages of each bucket, from its row alone."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 for no, data in zip(t.column("bucket"), t.column("data"), strict=True):
-                    keys, *cols = send(Bucket(X.thaw(data.as_py()), total, distinct))
+                    keys, *cols = send(Bucket(X.thaw(data.as_py(), LATER), total, distinct))
                     yield from X.pack(no.as_py(), parts, keys, cols, wide=True).to_batches()
 
         return state.mapInArrow(run, X.ANSWER)
@@ -289,7 +326,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
 
         return state.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(one, schema)
 
-    words = cut(X.answered(each(state, Bucket.words), ("u8", "u4"), _word_counts, numbered=True), "words")
+    words = cut(X.answered(each(state, Bucket.words, parts), ("u8", "u4"), _word_counts, numbered=True), "words")
     n, v = _totals(words)
 
     def start(b: Bucket, t: pa.Table, no: int) -> pa.Table:
@@ -299,26 +336,28 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     state, old = cut(told(state, words, start, STATE, n, v), "tree"), (state, words)
     release(*old)
     for level in range(1, depth + 1):
-        if not state.agg(F.sum("live")).first()[0]:
+        live = state.agg(F.sum("live")).first()[0]
+        if not live:
             break
-        grams = cut(X.answered(each(state, lambda b, k=level: b.asked(k)[:2], n, v), ("u8", "u4"), _counts), "grams")
+        # ranges of as many tokens as on the first level: what is left of a text sends no row to ranges that few keys fall into
+        first = live if level == 1 else first
+        ranges = min(parts, max(LEAST_RANGES, -(-parts * live // first)))
+        grams = cut(X.answered(each(state, lambda b, k=level: b.asked(k), ranges, n, v), ("u8", "u4"), _counts), "grams")
 
-        def test(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
-            c = X.received(t, "i8")[b.asked(k)[2]]
-            names, of = b.contexts(k)
-            return X.pack(no, parts, names[b.open(c, of, len(names))], b.gains(c, of, len(names)), wide=True)
+        def test(b: Bucket, t: pa.Table, no: int, k: int = level, ranges: int = ranges) -> pa.Table:
+            c, of, names, ask = b.told(k, t, ranges)
+            return X.pack(no, ranges, names[ask], b.gains(c, of, ask), wide=True)
 
-        def settle(b: Bucket, t: pa.Table, no: int, k: int = level) -> pa.Table:
+        def settle(b: Bucket, t: pa.Table, no: int, k: int = level, ranges: int = ranges) -> pa.Table:
             if len(b.at):
-                c = X.received(t, "i8", 0, parts)[b.asked(k)[2]]
-                names, of = b.contexts(k)
+                c, of, names, ask = b.told(k, t, ranges)
                 mass = np.zeros(len(names), np.uint8)
-                mass[b.open(c, of, len(names))] = X.received(t, "u1", parts, 2 * parts)
+                mass[ask] = X.received(t, "u1", ranges, 2 * ranges)
                 b.settled(c, mass[of], depth)
             return b.row(no)
 
         kept = cut(X.answered(told(state, grams, test, X.ANSWER, n, v), ("u8", "i8", "u4", *("i8" for _ in MASSES)), _states), "states")
-        both = grams.unionByName(kept.withColumn("part", F.col("part") + F.lit(parts)))
+        both = grams.unionByName(kept.withColumn("part", F.col("part") + F.lit(ranges)))
         state, old = cut(told(state, both, settle, STATE, n, v), "tree"), (state, grams, kept)
         release(*old)
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from selvage.llm import chat, classifier, exchange, mixing, quality_rules, suffix_tree, token_counts, url_filter
+from selvage.llm import chat, classifier, exchange, kernel, mixing, quality_rules, suffix_tree, token_counts, url_filter
 from selvage.llm import queries as Q
 from selvage.llm.tokenizer import encoding
 from selvage.tables import table
@@ -127,6 +127,42 @@ def test_suffix_tree_over_buckets(spark, monkeypatch):
     assert abs(sum(r.score for r in one.values()) / sum(r.score for r in many.values()) - 1) < 1e-3
 
 
+def test_distinct_numbers():
+    """As numpy's, also where keys differ only in the bits that the sort leaves out, and of none."""
+    rng = np.random.default_rng(4)
+    near = (rng.integers(0, 1 << 40, 300, dtype=np.uint64) << np.uint64(24))[rng.integers(0, 300, 5000)] + rng.integers(0, 3, 5000).astype(np.uint64)
+    for keys in (near, near | np.uint64(1 << 63), near[:1], near[:0], np.zeros(9, np.uint64), rng.integers(0, 50, 999).astype(np.uint32), rng.integers(0, 1 << 32, 999).astype(np.uint32)):
+        want = np.unique(keys, return_inverse=True, return_counts=True)
+        for x, y in zip(kernel.distinct(keys), want, strict=True):
+            assert x.tolist() == y.tolist()
+        assert kernel.numbers(keys).tolist() == want[1].tolist() and kernel.distinct(keys)[0].dtype == keys.dtype
+
+
+def test_coded_runs():
+    """Pieces of any widths come back, whatever the signs, and empty planes take no room."""
+    top = np.iinfo(np.int64)
+    cols = [np.array([0, 1, 2**40, 5, 2**64 - 1, 7], np.uint64), np.array([0, -1, 1, top.min, top.max, -300], np.int64), np.array([1, 0, 255, 256, 70000, 3], np.uint32), np.array([0, 1.5, -2, np.inf, 0, 9], np.float32)]
+    kinds = [c.dtype for c in cols]
+    data = exchange.coded_runs(cols, [0, 2, 2, 5, 6]) + exchange.coded_runs([c[:2] for c in cols], [0, 2])
+    got, ends = exchange.decoded_runs(data, kinds)
+    assert ends.tolist() == [0, 2, 2, 5, 6, 8]
+    for c, g in zip(cols, got, strict=True):
+        assert g.dtype == c.dtype and g.tolist() == [*c.tolist(), *c[:2].tolist()]
+    assert [x.tolist() for x in exchange.decoded_runs([], kinds)[0]] == [[]] * 4
+    assert exchange._planes([np.arange(9)])[0] == b"\x01" and exchange._planes([np.array([-200])])[0] == b"\x02"
+
+
+def test_suffix_tree_levels_send_to_few_ranges(spark, monkeypatch):
+    """Where few tokens are left, buckets send to few ranges: each row between a bucket and a range has its own cost."""
+    docs = table(spark, SF, "documents")
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(suffix_tree, "LEAST_RANGES", 2, raising=False)
+    rows, cut = [], suffix_tree.cut
+    monkeypatch.setattr(suffix_tree, "cut", lambda df, name: (out := cut(df, name), rows.append(out.select("part").distinct().count()) if name == "grams" else None)[0])
+    suffix_tree.scored(docs)
+    assert len(rows) > 2 and rows[-1] < rows[0] // 2
+
+
 def test_suffix_tree_beats_base_on_held_out(spark):
     r = suffix_tree.scored(table(spark, SF, "documents")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
