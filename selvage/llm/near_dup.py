@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from selvage.llm import exchange as X
 from selvage.llm.common import WORD, text_key, whole_ids
-from selvage.llm.graph import components
+from selvage.llm.graph import WHOLE, components
 from selvage.llm.kernel import Words, chunks, mix
 from selvage.session import cut, release
 
@@ -192,7 +192,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     order = lambda d: d.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
     stars = cut(order(side(post, 1).join(side(lead, 2), "tok").where("cid1 <> cid2").where(_fits(num, den, SHORT))), "stars")
     first = cut(_verified(stars, sets, num, den), "links")
-    at = components(first)
+    at = components(first, whole=WHOLE)
     post = post.join(at, post.cid == at.node, "left").select("tok", "cid", "n", "own", "i", F.coalesce("comp", "cid").alias("comp"))
     post = cut(post, "posts")
     most = post.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
@@ -213,7 +213,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     marked = cut(fingerprints(docs, buckets, k), "sets")
     classes = cut(marked.where("n > 0").groupBy("cid").agg(F.min("id").alias("low"), F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = cut(survivors(docs, classes, buckets, parts, "doc_id", "text", k, num, den), "survivors")
-    at = cut(components(links(sets, num, den)), "components")
+    at = cut(components(links(sets, num, den), whole=WHOLE), "components")
     release(sets)
     named = classes.join(at, classes.cid == at.node, "left").select("cid", "low", F.coalesce("comp", "cid").alias("comp"))
     lows = named.join(at.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("low").alias("least"))

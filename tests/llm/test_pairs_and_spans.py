@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from selvage.llm import decontaminate, graph, near_dup, substring_dedup
 from selvage.llm.kernel import Words
+from selvage.session import cut
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id bigint, text string, lang string"
@@ -143,6 +144,33 @@ def test_components(spark, kind):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize(("whole", "most"), [(graph.WHOLE, 2), (500, 30), (0, 60)])
+def test_components_finish_in_one_task(spark, monkeypatch, whole, most):
+    """A star, a chain and pairs of binary nodes: the same components however few edges one task joins, and no round for few edges."""
+    node = lambda k: k.to_bytes(3, "big")
+    edges = [(node(0), node(i)) for i in range(1, 1500)] + [(node(2000 + i), node(2001 + i)) for i in range(200)] + [(node(4000 + 2 * i), node(4001 + 2 * i)) for i in range(100)]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or cut(df, name))
+    got = graph.components(spark.createDataFrame(edges, "a binary, b binary"), whole=whole).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(bytes(r.comp), set()).add(bytes(r.node))
+    want = [{node(i) for i in range(1500)}, {node(2000 + i) for i in range(201)}, *({node(4000 + 2 * i), node(4001 + 2 * i)} for i in range(100))]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and len(got) == 1901
+    assert all(c in g for c, g in groups.items()) and len(written) <= most
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Near copies of one text: their links are joined by one task, twice, not by rounds of jobs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:59], f"end{i}"])) for i in range(40)]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or cut(df, name))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 40
+    assert written == ["edges", "hop"] * 2
+
+
 def _brute(docs, items, threshold, overlap):
     """Every passage of every document scored in full against every item; an item's passages follow from its length alone."""
     words = lambda t: re.findall(r"[^\s!-/:-@\[-`{-~]+", low(t), re.ASCII)
