@@ -126,6 +126,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int
     return Model(full, theta)
 
 
+def _views(x: pa.BinaryArray) -> list[np.ndarray]:
+    """Arrays of int32 over the buffer of a binary column without nulls: the driver holds no copy of each row."""
+    kind = np.int64 if pa.types.is_large_binary(x.type) else np.int32
+    ends = np.frombuffer(x.buffers()[1], kind)[x.offset : x.offset + len(x) + 1] // 4
+    flat = np.frombuffer(x.buffers()[2] or b"", np.uint8)
+    flat = flat[: len(flat) // 4 * 4].view(np.int32)
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of the sample, in the order of (hash of the id, id, grade, text hash).
 
@@ -149,8 +158,8 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_byte
     if not n:
         return [], np.zeros(0, np.int64)
     upto = F.struct(*(F.col(c) for c in order)) <= F.struct(*(F.lit(first[n - 1][c]).cast(found.schema[c].dataType) for c in order))
-    got = found.where(upto).orderBy(*order, "x").limit(n).select("grade", "x").toArrow().to_pydict()
-    return [np.frombuffer(x, np.int32) for x in got["x"]], np.array(got["grade"], np.int64)
+    got = found.where(upto).orderBy(*order, "x").limit(n).select("grade", "x").toArrow()
+    return [f for x in got["x"].chunks for f in _views(x)], got["grade"].to_numpy().astype(np.int64)
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:

@@ -68,6 +68,7 @@ def mixed(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     per = per.join(typical.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per = per.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "its_source")
+    per = cut(per, "targets")  # a row a source; both sides of the prefix sum read it, and neither plans or runs it again
     rows = rows.drop("weight").join(per, rows.source.eqNullSafe(F.col("its_source"))).drop("its_source")
     # slices that rise with the key, of about equal numbers of rows; those of no weight follow
     slices = F.ceil(F.col("rows") / F.greatest(F.lit(float(SPAN)), F.sqrt("rows")))

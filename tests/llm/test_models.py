@@ -271,6 +271,13 @@ def test_mixing_odd_columns(spark):
     assert mixing.mixed_documents(docs.limit(0), labels).count() == 0
 
 
+def test_mix_plans_targets_once(spark):
+    """The sums and the rows of the prefix sum read written targets: only its own two windows are left in the plan."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    plan = mixing.mixed(mixing.sized_documents(docs, table(spark, "/root/testdata/sf0.001", "labels")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == 2
+
+
 def test_heavier_documents_come_first(spark):
     data = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"), F.lit(10).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("quality"))
     r = {x.k: x.n for x in mixing.mixed(data, (1, 3), 3).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("k")).agg(F.sum("repeats").alias("n")).collect()}
