@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from selvage.session import cut
+from selvage.session import cut, partitions
 
 
 def _sum(a: Column) -> Column:
@@ -59,17 +66,119 @@ def correlation(za: Column, zb: Column) -> Column:
     return _sum(F.zip_with(za, zb, lambda x, y: x * y)) / F.size(za)
 
 
+#: Frames and slides of a task's pair of blocks at most, frames compared at a time, pairs computed to the end at a time.
+FRAMES, SLIDES, ROWS, PAIRS = 16384, 8192, 256, 1 << 17
+
+
 def slide_matches(frames: DataFrame, refs: DataFrame, ink: float = 0.35, corr: float = 0.8, bits: int = 16) -> DataFrame:
-    """(frame, slide, cost) of the best slide of each frame that passes all three thresholds.
+    """(frame, slide, cost) of the best slide of each frame that passes all three thresholds, the first on ties.
 
-    Both sides: (id, ink, z, hash).  A stated set of references is compared with all frames; the hash
-    test comes first, as it is the cheapest.
+    Both sides: (id, ink, z, hash).  Every pair counts, so blocks of frames meet blocks of references, each
+    pair of blocks in one task of bounded memory (:func:`best_slides`); the blocks' bests meet by frame.
+    """
+    spark = frames.sparkSession
+    n, r = frames.count(), refs.count()
+    slides = max(-(-r // SLIDES), 1)
+    # frames are repeated for each block of slides and slides for each block of frames: about as many rows of both
+    blocks = max(-(-n // FRAMES), min(partitions(spark), n * slides // max(r, 1)), 1)
+
+    def side(df: DataFrame, own: str, of: int, other: str, repeats: int) -> DataFrame:
+        rows = df.where("hash IS NOT NULL").select("id", F.col("ink").cast("array<double>").alias("ink"), F.col("z").cast("array<double>").alias("z"), F.col("hash").cast("long").alias("hash"), F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return best_slides(a, b.sort_by([("id", "ascending")]), ink, corr, bits).cast(arrow)
+
+    out = T.StructType([T.StructField("frame", frames.schema["id"].dataType), T.StructField("slide", refs.schema["id"].dataType), T.StructField("cost", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+    left, right = side(frames, "fb", blocks, "sb", slides), side(refs, "sb", slides, "fb", blocks)
+    best = left.groupBy("fb", "sb").cogroup(right.groupBy("fb", "sb")).applyInArrow(run, out)
+    return best.groupBy("frame").agg(F.min_by("slide", F.struct("cost", "slide")).alias("slide"), F.min("cost").alias("cost"))
+
+
+class _Side:
+    """Rows of one length of ink and of z: their places, hashes and values by column."""
+
+    def __init__(self, t: pa.Table, rows: np.ndarray) -> None:
+        self.rows, t = rows, t.take(pa.array(rows))
+        self.hash = t["hash"].to_numpy().view(np.uint64)
+        self.ink, self.z = (pc.list_flatten(t[c]).to_numpy().reshape(len(rows), -1).T.copy() for c in ("ink", "z"))
+        self.total = _folded(self.ink, len(rows))
+        size = np.sqrt((self.z * self.z).sum(0))
+        self.most = float(size[np.isfinite(size)].max(initial=0.0))
+
+
+def _folded(columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """Sums from left to right, as :func:`_sum` has them: other orders round otherwise."""
+    total = np.zeros(n)
+    for x in columns:
+        total += x
+    return total
+
+
+def _sides(t: pa.Table) -> dict[tuple[int, int], _Side]:
+    """Rows without nulls and with finite ink, by length of ink and z; no other row has a distance within a threshold."""
+    n, keep, size = t.num_rows, np.ones(t.num_rows, bool), []
+    for c in ("ink", "z"):
+        size.append(pc.fill_null(pc.list_value_length(t[c]), -1).to_numpy())
+        flat = pc.list_flatten(t[c])
+        x = pc.fill_null(flat, np.nan).to_numpy()
+        bad = ~np.isfinite(x) if c == "ink" else pc.is_null(flat).to_numpy()
+        of = np.repeat(np.arange(n), np.maximum(size[-1], 0))
+        keep &= (size[-1] >= 0) & (np.bincount(of[bad], minlength=n) == 0)
+    keep &= size[1] > 0
+    kinds = np.unique(np.stack([size[0][keep], size[1][keep]], 1), axis=0).tolist()
+    return {(i, z): _Side(t, np.flatnonzero(keep & (size[0] == i) & (size[1] == z))) for i, z in kinds}
+
+
+def best_slides(frames: pa.Table, slides: pa.Table, ink: float, corr: float, bits: int) -> pa.Table:
+    """(frame, slide, cost) of each frame's best slide; ``slides`` in the order that decides ties.
+
+    A distance is never negative, so 1 - c is no more than the cost: once one slide's cost is known,
+    only slides that correlate well enough to beat it are computed to the end.
     """
-    r = refs.select(F.col("id").alias("slide"), *(F.col(c).alias(f"r_{c}") for c in ("ink", "z", "hash")))
-    j = frames.join(r, hamming(F.col("hash"), F.col("r_hash")) <= bits)
-    j = j.withColumns({"d": ink_distance(F.col("ink"), F.col("r_ink")), "c": correlation(F.col("z"), F.col("r_z"))}).where((F.col("d") <= ink) & (F.col("c") >= corr))
-    j = j.withColumn("cost", F.col("d") + 1 - F.col("c"))
-    return j.groupBy(F.col("id").alias("frame")).agg(F.min_by("slide", F.struct("cost", "slide")).alias("slide"), F.min("cost").alias("cost"))
+    at, to, costs = [], [], []
+    refs = _sides(slides)
+    with np.errstate(all="ignore"):
+        for kind, a in _sides(frames).items():
+            for lo in range(0, len(a.rows) if kind in refs else 0, ROWS):
+                i, j, cost = _best(a, refs[kind], np.arange(lo, min(lo + ROWS, len(a.rows))), ink, corr, bits)
+                at.append(a.rows[i])
+                to.append(refs[kind].rows[j])
+                costs.append(cost)
+    none = [np.zeros(0, np.int64)]
+    frame, slide = frames["id"].take(pa.array(np.concatenate(at or none))), slides["id"].take(pa.array(np.concatenate(to or none)))
+    return pa.table({"frame": frame, "slide": slide, "cost": np.concatenate(costs or [np.zeros(0)])})
+
+
+def _best(a: _Side, b: _Side, rows: np.ndarray, ink: float, corr: float, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some rows of ``a``: row, best row of ``b`` (the first on ties), cost."""
+    near = np.bitwise_count(a.hash[rows][:, None] ^ b.hash) <= bits
+    c = a.z[:, rows].T @ b.z / len(b.z)
+    slack = 1e-12 * (2 + a.most * b.most / len(b.z))  # more than rounding can differ
+    near &= ~(c < corr - slack)
+    some = near.any(1)
+    rows, near, c = rows[some], near[some], c[some]
+    if not len(rows):
+        return rows, rows, np.zeros(0)
+    first = np.where(near, c, -np.inf).argmax(1)
+    known, passes = _cost(a, b, rows, first, ink, corr)
+    near &= ~(1 - c > np.where(passes & ~np.isnan(known), known, np.inf)[:, None] + slack)
+    i, j = np.nonzero(near)
+    parts = [_cost(a, b, rows[i[k : k + PAIRS]], j[k : k + PAIRS], ink, corr) for k in range(0, len(i), PAIRS)]
+    cost, passes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    i, j, cost = i[passes], j[passes], cost[passes]
+    order = np.lexsort((j, cost, i))  # of equal costs the first; no number comes last
+    i, j, cost = i[order], j[order], cost[order]
+    one = np.flatnonzero(np.diff(i, prepend=-1))
+    return rows[i[one]], j[one], cost[one]
+
+
+def _cost(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, ink: float, corr: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cost of pairs of rows, computed as :func:`ink_distance` and :func:`correlation` do, and whether they pass both thresholds."""
+    d = _folded((np.abs(x[i] - y[j]) for x, y in zip(a.ink, b.ink, strict=True)), len(i)) / np.maximum(a.total[i] + b.total[j], 1e-6)
+    c = _folded((x[i] * y[j] for x, y in zip(a.z, b.z, strict=True)), len(i)) / len(b.z)
+    return d + 1 - c, (d <= ink) & ~(c < corr)
 
 
 def earlier_duplicates(boards: DataFrame, most: float = 0.12) -> DataFrame:

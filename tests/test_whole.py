@@ -100,3 +100,25 @@ def test_roots_of_duplicates_are_transitive(spark):
     finally:
         signals.ink_distance = monkey
     assert got == {i: (i - 1, 0) for i in range(1, 9)}
+
+
+def test_slide_matches_compare_every_pair_in_blocks(spark, monkeypatch):
+    """Several blocks of both sides against the pairs one by one; ties, nulls, odd lengths and values that are no numbers."""
+    from selvage.operators import signals
+
+    f = spark.createDataFrame(
+        [(i, [abs(math.sin(i * 7 + k)) for k in range(5)], [math.cos(i * 5 + k * k) for k in range(5)], (i * 2654435761) % 2**16) for i in range(120)]
+        + [(200, None, [1.0], 1), (201, [1.0, None], [1.0, 2.0], 1), (202, [1.0], [None], 1), (203, [math.nan], [1.0], 1), (204, [2.0], [1.0], None), (205, [2.0], [1.0], 3), (206, [2.0], [1.0], 3), (207, [math.inf], [1.0], 3), (None, [2.0], [1.0], 3)],
+        "id bigint, ink array<double>, z array<double>, hash bigint",
+    )
+    refs = f.where("id % 3 = 0 OR id > 200")
+    r = refs.select(F.col("id").alias("slide"), *(F.col(c).alias(f"r_{c}") for c in ("ink", "z", "hash")))
+    pairs = f.join(r, signals.hamming(F.col("hash"), F.col("r_hash")) <= 9)
+    pairs = pairs.withColumns({"d": signals.ink_distance(F.col("ink"), F.col("r_ink")), "c": signals.correlation(F.col("z"), F.col("r_z"))}).where("d <= 0.6 AND c >= 0.1").withColumn("cost", F.expr("d + 1 - c"))
+    want = pairs.groupBy("id").agg(F.min_by("slide", F.struct("cost", "slide")), F.min("cost")).collect()
+    for name, size in (("FRAMES", 16), ("SLIDES", 8), ("ROWS", 3), ("PAIRS", 7)):
+        monkeypatch.setattr(signals, name, size)
+    got = signals.slide_matches(f, refs, ink=0.6, corr=0.1, bits=9)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want))) and len(want) > 50
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
