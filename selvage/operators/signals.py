@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from selvage.functions.text import let
 from selvage.session import cut, partitions
 
 
@@ -19,11 +20,6 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: inside a lambda an outer expression would be computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 

@@ -35,6 +35,24 @@ def test_markdown(spark):
     assert one(spark, M.plain_text, "## A **b** [c](d)") == "A b c"
 
 
+
+def test_div_balance_is_computed_once_a_text(spark):
+    """Not once for each line: that made a page cost the square of its lines.  Long texts with and without strays, marks and values."""
+    from pyspark.sql import functions as F
+
+    long = "\n".join(f":::\nx{i}\n::: {{.a}}\ny" if i % 50 == 0 else f"line {i}" for i in range(3000))
+    df = spark.createDataFrame([(0, long), (1, "a\n\nb"), (2, None), (3, ""), (4, "x ::: y"), (5, "::: a\n:::\n")], "i int, c string").select("i", M.balanced_divs(F.col("c")).alias("c"))
+    kept, depth = [], 0
+    for x in long.split("\n"):
+        if x == ":::" and not depth:
+            continue
+        depth += (x.startswith("::: ")) - (x == ":::")
+        kept.append(x)
+    want = {0: "\n".join(kept) + "\n:::" * depth, 1: "a\n\nb", 2: None, 3: "", 4: "x ::: y", 5: "::: a\n:::\n"}
+    assert {r.i: r.c for r in df.collect()} == want
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_matching(spark):
     e = spark.createDataFrame([(1, "undefined sequence alpha beta")], "err int, text string")
     p = spark.createDataFrame([(1, "nothing here"), (2, "alpha beta sequence"), (3, "beta alpha sequence")], "par int, text string")
