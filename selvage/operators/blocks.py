@@ -106,7 +106,9 @@ def terms(blocks: DataFrame, key: str, pos: str, title: str, most: int = 60) ->
 def running_lines(rows: DataFrame, doc: str, page: str, line: str, share: float = 0.6, least: int = 2) -> DataFrame:
     """(doc, key, pages) of masked lines on at least max(least, ceil(share n)) of a document's n >= 3 pages,
     or of its odd or even pages when n >= 6; page numbers always."""
-    rows = rows.select(doc, page, T.running_key(F.col(line)).alias("key"), T.is_page_number(F.col(line)).alias("number")).where("key <> ''")
+    # a filter on the key itself would compute it a second time
+    rows = rows.where(T.has_running_key(F.col(line))).select(doc, page, T.running_marks(F.col(line)).alias("__m"))
+    rows = rows.select(doc, page, "__m.key", "__m.number")
     seen = rows.groupBy(doc, "key", page).agg(F.max("number").alias("number"))
     odd = F.count_if(F.col(page) % 2 == 1)
     sizes = seen.groupBy(doc, page).agg(F.lit(1).alias("__1")).groupBy(doc).agg(F.count(F.lit(1)).alias("n"), odd.alias("n_odd"))

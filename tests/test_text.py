@@ -125,3 +125,31 @@ def test_hyphens(spark):
 def test_letter_share(spark):
     assert one(spark, T.letter_share, "Привет abc $мат$") == round(6 / 9, 3)
     assert one(spark, T.letter_share, "123") is None
+
+
+def test_running_lines_mask_each_line_once(spark):
+    """Same keys as the patterns over every line; neither a filter nor the second use of a line computes its key again."""
+    import re
+
+    from selvage.operators import blocks as B
+
+    ws, ends = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000", " .·|-–—"
+    odd = [a + w + b for w in [*ws, "  ", " \t", "\xa0 ", "\r\n", ""] for a, b in (("x", "y"), ("", "3 | Kopf"), ("Стр.", "7 из 9"), ("PAGE", "12"), ("-", "–"), ("12", "- z"), ("xii", ""), ("ẞ.", "4"))]
+    odd += ["", " ", ".·|", "٣ page", "\x1c", "A  B  C", "Kopf | 12", "page ten", "x" * 30 + " 5 of 6", None]
+
+    def key(s):
+        s = re.sub(f"[{ws}]+", " ", s).strip(" ").lower()
+        if re.search(r"(?<!\w)(стр|страница|page|pg|слайд|slide)(?!\w)|(?<!\w)[сp]\.\s*[0-9]|[0-9]\s*(из|of|/)\s*[0-9]", s):
+            return re.sub("[0-9]+", "#", s).strip(ends)
+        return re.sub(r"([|·•—–-]\s*)[0-9]{1,4}$", r"\1#", re.sub(r"^[0-9]{1,4}(?=\s*[|·•—–-]\s)", "#", s)).strip(ends)
+
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, s string").select("i", T.running_key(F.col("s")).alias("key"), T.has_running_key(F.col("s")).alias("has"), T.running_marks(F.col("s")).alias("m"), T.is_page_number(F.col("s")).alias("number"))
+    for r in df.collect():
+        if odd[r.i] is None:
+            assert (r.key, r.has) == (None, None)
+        else:
+            assert (r.key, r.has, r.m.key, r.m.number) == (key(odd[r.i]), key(odd[r.i]) != "", r.key, r.number), repr(odd[r.i])
+    docs = spark.createDataFrame([(d, p, "Kopf | %d" % p) for d in (1, 2) for p in range(5)] + [(1, 0, " – ")], "d int, p int, s string")
+    got = B.running_lines(docs, "d", "p", "s")
+    assert sorted(map(tuple, got.collect())) == [(1, "kopf | #", 5), (2, "kopf | #", 5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("стр|страница|page|pg|слайд|slide") == 1
